@@ -5,9 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .cover_tree import top_k
+from .hilbert import hilbert_shards
+from .line_dedup import MIN_WORDS, repeated_units
+from .mixing import mix_blocks
 from .ngram_join import jaccard_components
 from .store import read_table
+from .warc import archive_round_trip
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +21,90 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"), words=4, p=85, q=100)
 
 
+def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16 shards along the curve, counts at most one apart."""
+    placed = hilbert_shards(read_table(spark, sf_dir, "documents"), shards=16, law="rows")
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeated lines of all documents that go, with their places."""
+    gone = repeated_units(read_table(spark, sf_dir, "documents"), by="line", min_words=MIN_WORDS)
+    return gone.select("doc_id", "unit", "start", "stop", "words", "digest", "kept_doc_id", "kept_unit", "copies")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document, summed over its drawn pieces."""
+    rows, pieces = mix_blocks(read_table(spark, sf_dir, "documents"))
+    drawn = pieces.groupBy("rid").agg(F.sum(F.col("last_word") - F.col("first_word")).cast("long").alias("taken"))
+    return rows.join(drawn, "rid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def op8_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives, read back and merged by URL key and time."""
+    return archive_round_trip(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best candidates of every fiftieth vector."""
+    return top_k(read_table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_hilbert_sharding": op3_hilbert_sharding,
+    "op5_line_dedup": op5_line_dedup,
+    "op7_mixing": op7_mixing,
+    "op8_warc_index_merge": op8_warc_index_merge,
+    "op10_cover_tree_search": op10_cover_tree_search,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(coalesce({}, ''), '[^\\x20\\x09-\\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": f"""
+        with recursive w as (select doc_id, {_WORDS.format(_LOWER.format("text"))} as ws from documents),
+        g as (
+            select distinct doc_id, unnest(case when len(ws) >= 4 then list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))
+                when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as s from w),
+        n as (select doc_id, count(*) as n from g group by doc_id),
+        pairs as (select a.doc_id as u, b.doc_id as v, count(*) as c from g a join g b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+        links as (select u, v from pairs join n x on x.doc_id = u join n y on y.doc_id = v where 100 * c >= 85 * (x.n + y.n - c)),
+        both_ways as (select u, v from links union select v, u from links),
+        reach(doc_id, r) as (select doc_id, doc_id from documents union select reach.doc_id, both_ways.v from reach join both_ways on both_ways.u = reach.r)
+        select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(r) as component_id
+        from documents d join reach on reach.doc_id = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id, n.n""",
+    "op5_line_dedup": f"""
+        with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+        u as (select doc_id, ls, unnest(range(0, len(ls))) as unit from l),
+        p as (select doc_id, unit, ls[unit + 1] as line,
+            list_sum(list_transform(ls[1:unit], lambda x: length(x) + 1)) as ahead from u),
+        k as (select doc_id, unit, coalesce(ahead, 0)::bigint as start, coalesce(ahead, 0)::bigint + length(line) as stop,
+            {_WORDS.format(_LOWER.format("line"))} as ws from p),
+        d as (select doc_id, unit::int as unit, start, stop, len(ws)::int as words, md5(array_to_string(ws, ' ')) as digest from k where len(ws) >= {MIN_WORDS}),
+        r as (select *, row_number() over o as nth, first_value(doc_id) over o as kept_doc_id, first_value(unit) over o as kept_unit,
+            count(*) over (partition by digest) as copies from d window o as (partition by digest order by doc_id nulls last, unit))
+        select doc_id, unit, start, stop, words, digest, kept_doc_id, kept_unit, copies from r where nth > 1""",
+    "op7_mixing": f"""
+        with b as (select doc_id, source, len({_WORDS.format("text")})::bigint as size, md5('tidemark|' || coalesce(doc_id::varchar, '')) as draw from documents),
+        s as (select source, sum(size)::bigint as source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight from b group by source),
+        l as (select *, (sum(source_size) over () - 3 * coalesce(sum(source_size) over (order by source_size / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))::double
+            / sum(weight) over (order by source_size / weight, source nulls last rows between current row and unbounded following) as level from s),
+        t as (select source, source_size, least(source_size * 3.0::double, weight * max(level) over ()) as target from l),
+        q as (select b.*, t.source_size, t.target, round(t.target)::bigint as quota,
+            (sum(size) over (partition by b.source order by draw, doc_id nulls last rows unbounded preceding) - size)::bigint as place
+            from b join t on b.source is not distinct from t.source)
+        select doc_id, size, source_size, target, (list_sum(list_transform([0, 1, 2], lambda e: greatest(0, least(e * source_size + place + size, quota) - (e * source_size + place)))))::bigint as taken from q""",
+    "op8_warc_index_merge": """
+        with p as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+        f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end as first_id from p)
+        select page_id, payload_bytes, payload_digest, case when first_id < page_id then 'revisit' else 'response' end as record_type,
+            case when first_id < page_id then first_id end as refers_to from f""",
+    "op10_cover_tree_search": """
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.e, c.e)::bigint as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+        select query_id, rank, vec_id, score from r where rank <= 5""",
+}
