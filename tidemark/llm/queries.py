@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_mixture
+from .context_tree import score_documents
 from .cover_tree import top_k
 from .hilbert import hilbert_shards
 from .line_dedup import MIN_WORDS, repeated_units
 from .mixing import mix_blocks
 from .ngram_join import jaccard_components
+from .semi_markov import find_personal_data
+from .spaced_seeds import contaminated
 from .store import read_table
 from .warc import archive_round_trip
 
@@ -21,18 +25,36 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"), words=4, p=85, q=100)
 
 
+def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, with their best alignment."""
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """16 shards along the curve, counts at most one apart."""
     placed = hilbert_shards(read_table(spark, sf_dir, "documents"), shards=16, law="rows")
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve")
 
 
+def op4_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and added spans of personal data of every document."""
+    found = find_personal_data(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repeated lines of all documents that go, with their places."""
     gone = repeated_units(read_table(spark, sf_dir, "documents"), by="line", min_words=MIN_WORDS)
     return gone.select("doc_id", "unit", "start", "stop", "words", "digest", "kept_doc_id", "kept_unit", "copies")
 
 
+def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's predicted language, learned from the labels of three quarters of them."""
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", language_mixture.held_out(2, 4))
+    model = language_mixture.learn(docs.where(~F.col("held_out") & F.col("doc_id").isNotNull()))
+    return language_mixture.predict(docs.select("doc_id", "held_out", "text"), model)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document, summed over its drawn pieces."""
     rows, pieces = mix_blocks(read_table(spark, sf_dir, "documents"))
@@ -45,6 +67,11 @@ def op8_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_context_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's log10 probability under the unigram base and the context tree."""
+    return score_documents(read_table(spark, sf_dir, "documents"), language_mixture.held_out(2, 7))
+
+
 def op10_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best candidates of every fiftieth vector."""
     return top_k(read_table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
@@ -52,10 +79,14 @@ def op10_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_spaced_seed_decontamination": op2_spaced_seed_decontamination,
     "op3_hilbert_sharding": op3_hilbert_sharding,
+    "op4_semi_markov_pii": op4_semi_markov_pii,
     "op5_line_dedup": op5_line_dedup,
+    "op6_language_mixture": op6_language_mixture,
     "op7_mixing": op7_mixing,
     "op8_warc_index_merge": op8_warc_index_merge,
+    "op9_context_tree_scoring": op9_context_tree_scoring,
     "op10_cover_tree_search": op10_cover_tree_search,
 }
 
