@@ -14,9 +14,13 @@ differing bits, one of the four residue classes (bit number modulo 4) of those t
 So a block with at least two bits set is one key; a thinner block, which many sets would share, is
 keyed with each residue class of the following blocks.  No pair within the bound is missed.
 
-Candidates of one key are not paired with each other: each is paired with the key's smallest set,
-pairs are verified on the full shingle sets, links are closed into components, and only keys whose
-sets are then still in different components give further pairs, until all such pairs are verified.
+Candidates of one key are not paired with each other as rows.  Each set is first paired with one
+key's smallest set; pairs are verified on the full shingle sets and links closed into components.
+Keys whose sets then lie in different components are gone through in tiles of bounded size, where
+short folded sketches and sizes rule out pairs by the same bound and what survives is verified.  A
+key with many more survivors than sets (copies that differ a little) gives only each set's nearest
+one, and is gone through again with components closed, at last for every survivor that still joins
+two components.
 Copies never meet: equal shingle sets are one node throughout.
 
 Results: components are those of all pairs with Jaccard >= p/q.  Nodes are 64-bit hashes of shingle
@@ -39,6 +43,8 @@ from .store import discard, materialize
 RATIO = 1.4
 BLOCK_BITS = 1024
 _BITS = 10
+#: Rows of a key that meet in one task; larger keys are cut into tiles of two such parts.
+TILE_ROWS = 1024
 #: Per Python worker: distinct sets remembered so that copies emit no second set of keys. Only saves work.
 SEEN_LIMIT = 1 << 20
 #: Bits of the candidate filter sent to executors: a fixed size, whatever the input.
@@ -134,6 +140,19 @@ def band_keys(values: np.ndarray, bounds: np.ndarray, p: int, q: int) -> tuple[n
     return key[order], np.searchsorted(owner[order], np.arange(len(bounds)))
 
 
+def folded_sketches(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """1024-bit parity sketches: Hamming distance is at most the symmetric difference."""
+    out: list[bytes] = []
+    for a in range(0, len(bounds) - 1, 2048):
+        cut = bounds[a : a + 2049]
+        row = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+        bit = (values[cut[0] : cut[-1]] >> np.uint64(7)).astype(np.int64) & (BLOCK_BITS - 1)
+        odd = (np.bincount(row * BLOCK_BITS + bit, minlength=(len(cut) - 1) * BLOCK_BITS) & 1).astype(np.uint8)
+        packed = np.packbits(odd.reshape(-1, BLOCK_BITS), axis=1)
+        out += [x.tobytes() for x in packed]
+    return out
+
+
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     for first, data, offsets in tk.chunks(batch.column("text")):
         data = tk.lower(data)
@@ -161,55 +180,184 @@ def _keyed(words: int, p: int, q: int):
                 np.cumsum(np.where(fresh, sizes, 0), out=cut[1:])
                 keys, at = band_keys(values[own], cut, p, q)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(nodes)).cast(pa.int64()), pa.array(sizes), pa.array(nodes.view(np.int64)), tk.list_array(keys, at)],
-                    names=["doc_id", "n_shingles", "node", "keys"],
+                    [batch.column("doc_id").slice(first, len(nodes)).cast(pa.int64()), pa.array(sizes), pa.array(nodes.view(np.int64)), pa.array(folded_sketches(values, bounds), pa.binary()), tk.list_array(keys, at)],
+                    names=["doc_id", "n_shingles", "node", "sketch", "keys"],
                 )
 
     return run
 
 
 def _picked(words: int, wanted: bytes):
-    """Shingle sets of the nodes whose bit is set in ``wanted``."""
+    """Shingle sets of the rows (node, doc_id) whose bit is set in ``wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(wanted, dtype=np.uint8)
-        seen: set[int] = set()
         for batch in batches:
-            for _, values, bounds, nodes in _sets(batch, words):
-                slot = (nodes & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-                take = (bits[slot >> 3] >> (slot & 7)) & 1 == 1
-                for i in np.flatnonzero(take):
-                    if int(nodes[i]) in seen:
-                        take[i] = False
-                    seen.add(int(nodes[i]))
-                if len(seen) > SEEN_LIMIT:
-                    seen.clear()
-                sizes = np.where(take, np.diff(bounds), 0)
-                cut = np.zeros(len(bounds), dtype=np.int64)
-                np.cumsum(sizes, out=cut[1:])
-                flat = values[np.repeat(take, np.diff(bounds))]
-                rows = np.flatnonzero(take)
-                if len(rows):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(nodes[rows].view(np.int64)), tk.list_array(flat, np.append(cut[:-1][rows], cut[-1]))], names=["node", "grams"]
-                    )
+            for first, values, bounds, nodes in _sets(batch, words):
+                ids = batch.column("doc_id").slice(first, len(nodes))
+                slot = _slots(nodes, ids)
+                rows = np.flatnonzero((bits[slot >> 3] >> (slot & 7)) & 1 == 1)
+                for part in np.array_split(rows, max(1, len(rows) // 500)) if len(rows) else []:
+                    sizes = np.diff(bounds)[part]
+                    cut = np.zeros(len(part) + 1, dtype=np.int64)
+                    np.cumsum(sizes, out=cut[1:])
+                    flat = values[np.repeat(bounds[part] - cut[:-1], sizes) + np.arange(cut[-1])]
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[part].view(np.int64)), ids.take(pa.array(part)), tk.list_array(flat, cut)], names=["node", "doc_id", "grams"])
 
     return run
 
 
-def _verified(pairs: DataFrame, grams: DataFrame, p: int, q: int) -> DataFrame:
+def _slots(nodes: np.ndarray, ids: pa.Array) -> np.ndarray:
+    own = ids.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint64)
+    return (tk.mix64(nodes + own * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def _filtered(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """(node, grams) of the representatives (node, doc_id).
+
+    The texts are read again rather than kept: a bit filter of fixed size picks the rows whose sets
+    are built, and the join with ``reps`` removes what the filter lets through.
+    """
+    wanted = np.zeros(FILTER_BITS, dtype=bool)
+    slots = reps.mapInArrow(_slot_rows, "slot long").distinct()
+    for batch in slots.toArrow().to_batches():
+        wanted[batch.column("slot").to_numpy()] = True
+    found = docs.mapInArrow(_picked(words, np.packbits(wanted, bitorder="little").tobytes()), "node long, doc_id long, grams array<long>")
+    exact = reps.select(F.col("node").alias("__n"), F.col("doc_id").alias("__d"))
+    found = found.join(exact, (F.col("node") == F.col("__n")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
+    return found.select("node", "grams")
+
+
+def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        nodes = batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slots(nodes, batch.column("doc_id"))))], names=["slot"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, slim: DataFrame, words: int, p: int, q: int) -> DataFrame:
     """The pairs (u, v) whose sets reach Jaccard p/q, by exact integers."""
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    reps = materialize(slim.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "ngram-reps")
+    grams = _filtered(docs, reps, words).dropDuplicates(["node"])
     size = F.size("grams")
     left = grams.select(F.col("node").alias("u"), F.col("grams").alias("a"), size.alias("na"))
     right = grams.select(F.col("node").alias("v"), F.col("grams").alias("b"), size.alias("nb"))
-    common = F.size(F.array_intersect("a", "b"))
-    return (
-        pairs.join(left, "u").join(right, "v")
-        .where((q * F.least("na", "nb") >= p * F.greatest("na", "nb")))
-        .withColumn("common", common)
-        .where(q * F.col("common") >= p * (F.col("na") + F.col("nb") - F.col("common")))
-        .select("u", "v")
-    )
+    checked = pairs.join(right, "v").join(left, "u").where(q * F.least("na", "nb") >= p * F.greatest("na", "nb"))
+    checked = checked.withColumn("common", F.size(F.array_intersect("a", "b"))).where(q * F.col("common") >= p * (F.col("na") + F.col("nb") - F.col("common")))
+    links = materialize(checked.select("u", "v"), "ngram-links")
+    discard(reps)
+    return links
+
+
+#: A tile with more surviving pairs than this times its rows gives each row's nearest one and comes again.
+DENSE = 4
+#: Rounds after which dense tiles give all their surviving pairs.
+NEAREST_ROUNDS = 3
+
+
+def _tiles(p: int, q: int, all_pairs: bool):
+    """Pairs of a tile that lie in different components and within the sketch and size bounds."""
+
+    def survivors(group, key, part, node, component, size, sketch) -> pa.RecordBatch:
+        found, at = [], np.arange(len(node))
+        for gap in range(1, len(node)):
+            at = at[at + gap < len(node)]
+            at = at[group[at] == group[at + gap]]
+            if not len(at):
+                break
+            a, b = size[at], size[at + gap]
+            use = (component[at] != component[at + gap]) & (node[at] != node[at + gap]) & (q * np.minimum(a, b) >= p * np.maximum(a, b))
+            use &= (part[at] != part[at + gap]) | (part[at] < 0)
+            i = at[use]
+            for cut in range(0, len(i), 1 << 16):
+                j = i[cut : cut + (1 << 16)]
+                away = np.bitwise_count(sketch[j] ^ sketch[j + gap]).sum(axis=1, dtype=np.int64)
+                keep = (q + p) * away <= (q - p) * (size[j] + size[j + gap])
+                found.append((j[keep], j[keep] + gap, away[keep]))
+        i, j, away = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        tile = np.searchsorted(heads, np.arange(len(group)), side="right") - 1
+        dense = np.bincount(tile[i], minlength=len(heads)) > DENSE * np.bincount(tile, minlength=len(heads))
+        if all_pairs:
+            dense[:] = False
+        thick = dense[tile[i]]
+        u, v = [node[i[~thick]]], [node[j[~thick]]]
+        if thick.any():
+            i, j, away = i[thick], j[thick], away[thick]
+            who, other, far = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([away, away])
+            order = np.lexsort((node[other], far, who))
+            order = order[np.append(True, who[order][1:] != who[order][:-1])]
+            u.append(node[who[order]])
+            v.append(node[other[order]])
+        u, v, again = np.concatenate(u), np.concatenate(v), np.unique(key[heads[dense]])
+        gap = [None] * len(again)
+        columns = [[*np.minimum(u, v).tolist(), *gap], [*np.maximum(u, v).tolist(), *gap], [*([None] * len(u)), *again.tolist()]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["u", "v", "again"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def columns(rows: pa.Table) -> tuple:
+            number = lambda c: rows.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+            flat = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(rows), -1)
+            return number("group"), number("key"), number("part"), number("node"), number("component"), number("n_shingles"), flat
+
+        def settle(last: bool) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            group = rows.column("group").to_numpy()
+            end = len(group) if last else int(np.searchsorted(group == group[-1], True))  # a group stays whole
+            held[:] = rows.slice(end).combine_chunks().to_batches() if end < len(group) else []
+            if end:
+                yield survivors(*columns(rows.slice(0, end)))
+
+        for batch in batches:
+            for at in range(0, len(batch), 20_000):
+                held.append(batch.slice(at, 20_000))
+                if sum(map(len, held)) >= 40_000:
+                    yield from settle(False)
+        if held and sum(map(len, held)):
+            yield from settle(True)
+
+    return run
+
+
+def _survivors(keys: DataFrame, labels: DataFrame, slim: DataFrame, p: int, q: int, all_pairs: bool) -> DataFrame:
+    """(u, v, again): pairs u < v that keys in several components still ask about, and the keys to come again.
+
+    keys: key, node.
+    """
+    named = keys.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).select("key", "node", "component")
+    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")).where("low <> high")
+    mixed = mixed.select("key", F.expr(f"cast(ceil(rows / {TILE_ROWS}) as int)").alias("parts"))
+    once = slim.where("n_shingles > 0").dropDuplicates(["node"]).select("node", "n_shingles", "sketch")
+    tiled = named.join(mixed, "key").withColumn("own", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
+    tiled = tiled.withColumn("other", F.expr("explode(sequence(0, parts - 1))"))
+    tiled = tiled.select(
+        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"),
+        "key",
+        # within a part's own tile all pairs count, elsewhere only those of two parts
+        F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own")).alias("part"),
+        "node", "component",
+    ).join(once, "node")
+    dealt = tiled.repartition("group").sortWithinPartitions("group", "node")
+    return materialize(dealt.mapInArrow(_tiles(p, q, all_pairs), "u long, v long, again long"), "ngram-found")
+
+
+def _near(pairs: DataFrame, slim: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs (u, v) that the sketch and size bounds let pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(len(batch), -1) for c in ("su", "sv"))
+            na, nb = (batch.column(c).to_numpy() for c in ("nu", "nv"))
+            away = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            keep = ((q + p) * away <= (q - p) * (na + nb)) & (q * np.minimum(na, nb) >= p * np.maximum(na, nb))
+            yield batch.select(["u", "v"]).filter(pa.array(keep))
+
+    once = slim.where("n_shingles > 0").dropDuplicates(["node"])
+    for side in ("u", "v"):
+        pairs = pairs.join(once.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
+    return pairs.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100) -> DataFrame:
@@ -222,33 +370,35 @@ def jaccard_components(docs: DataFrame, words: int = 5, p: int = 80, q: int = 10
     (null when the group has no other).  Repeated rows give repeated result rows; an empty table
     gives no rows.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    base = materialize(slim.mapInArrow(_keyed(words, p, q), "doc_id long, n_shingles long, node long, keys array<long>"), "ngram-base")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    base = materialize(docs.mapInArrow(_keyed(words, p, q), "doc_id long, n_shingles long, node long, sketch binary, keys array<long>"), "ngram-base")
+    slim = materialize(base.select("doc_id", "n_shingles", "node", "sketch"), "ngram-nodes")
 
     by_key = Window.partitionBy("key")
     rows = base.select("node", F.explode("keys").alias("key")).withColumn("center", F.min("node").over(by_key)).withColumn("top", F.max("node").over(by_key))
     shared = materialize(rows.where("center <> top").select("key", "node", "center"), "ngram-keys")
-
-    wanted = bytearray(FILTER_BITS // 8)
-    for (slot,) in shared.select(F.col("node").bitwiseAND(FILTER_BITS - 1)).distinct().toLocalIterator():
-        wanted[slot >> 3] |= 1 << (slot & 7)
-    grams = slim.select("text").mapInArrow(_picked(words, bytes(wanted)), "node long, grams array<long>")
-    grams = materialize(grams.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "ngram-sets")
-
-    pairs = shared.where("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
-    links = materialize(_verified(pairs, grams, p, q), "ngram-links")
+    discard(base)
+
+    # each set against the center that it shares most keys with
+    tried = shared.where("node <> center").groupBy("node", "center").agg(F.count("*").alias("n"))
+    tried = tried.groupBy("node").agg(F.max(F.struct("n", "center")).alias("best")).select(F.col("best.center").alias("u"), F.col("node").alias("v"))
+    tried = materialize(_near(tried, slim, p, q), "ngram-pairs")
+    links = _verified(tried, docs, slim, words, p, q)
+
+    # keys whose sets lie in different components still
+    keys = shared.select("key", "node").distinct()
+    for turn in range(NEAREST_ROUNDS + 1):
+        labels = materialize(components(links), "ngram-labels")
+        found = _survivors(keys, labels, slim, p, q, turn == NEAREST_ROUNDS)
+        pairs = found.where("u is not null").select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
+        pairs = materialize(pairs, "ngram-pairs")
+        tried, links = tried.unionAll(pairs), links.unionAll(_verified(pairs, docs, slim, words, p, q))
+        again = found.where("again is not null").select(F.col("again").alias("key")).distinct()
+        if again.isEmpty():
+            break
+        keys = keys.join(again, "key", "left_semi")
     labels = materialize(components(links), "ngram-labels")
 
-    # keys whose sets lie in different components still: all pairs across, but for those just verified
-    named = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    left = materialize(named.join(mixed, "key", "left_semi").where("node <> center").dropDuplicates(["key", "node"]), "ngram-open")
-    a, b = left.select("key", F.col("node").alias("u"), F.col("component").alias("cu")), left.select("key", F.col("node").alias("v"), F.col("component").alias("cv"))
-    rest = a.join(b, "key").where("u < v and cu <> cv").select("u", "v").distinct()
-    more = materialize(_verified(rest, grams, p, q), "ngram-links")
-    discard(shared, left, grams)
-    labels = materialize(components(links.unionAll(more)), "ngram-labels")
-
-    named = base.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = slim.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     return named.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
