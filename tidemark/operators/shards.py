@@ -33,8 +33,10 @@ def overlapping_shards(shards: DataFrame, start: int, end: int) -> DataFrame:
 
 def window_starts(start: int, end: int, width: int) -> list[int]:
     """The starts of all windows that meet [start, end)."""
+    if start >= end:
+        return []
     if width <= 0:
-        return [0] if start < end else []
+        return [0]
     return list(range(start // width * width, end, width))
 
 
