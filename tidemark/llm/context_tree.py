@@ -139,8 +139,8 @@ class ContextTree:
                 stop = np.exp(math.log(0.5) + own - weighted)
             below = weighted
             self.keys.insert(0, key)
-            self.one.insert(0, ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32))
-            self.stop.insert(0, stop.astype(np.float32))
+            self.one.insert(0, (ones + 0.5) / (zeros + ones + 1))
+            self.stop.insert(0, stop)
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """log10 probability of each sequence's last byte after the others; sums to one over the 256 bytes."""
@@ -157,7 +157,7 @@ class ContextTree:
                 want = (context << np.uint64(8)) | np.uint64(1 << level) | (byte >> np.uint64(8 - level))
                 at = np.minimum(np.searchsorted(key, want), len(key) - 1)
                 hit = key[at] == want
-                one, stop = self.one[depth][at].astype(np.float64), self.stop[depth][at].astype(np.float64)
+                one, stop = self.one[depth][at], self.stop[depth][at]
                 here = np.where(np.isnan(mixed), one, stop * one + (1 - stop) * mixed)
                 mixed = np.where(hit, here, mixed)
             mixed = np.where(np.isnan(mixed), 0.5, mixed)

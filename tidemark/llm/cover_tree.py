@@ -115,7 +115,7 @@ class Search:
 
 
 def _exact(x: np.ndarray) -> None:
-    if len(x) and x.shape[1] * float(np.abs(x).max()) ** 2 * 4 >= 2**53:
+    if x.size and x.shape[1] * float(np.abs(x).max()) ** 2 * 4 >= 2**53:
         raise ValueError("components are too large for exact integer scores")
 
 
@@ -195,7 +195,6 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, blo
     asked = asked.withColumns({"kind": F.lit(1), "block": F.expr(f"explode(sequence(0, {blocks - 1}))")})
     both = held.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "dim", "kind", "vec_id")
     found = both.select("block", "dim", "kind", "vec_id", "vector").mapInArrow(_searched(k), "query_id long, vec_id long, score long")
-    if blocks > 1 or True:
-        by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
