@@ -1,0 +1,222 @@
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from brute import crc, spans, words
+from pyspark.sql import functions as F
+
+from tidemark.llm import context_tree as ct
+from tidemark.llm import language_mixture as lm
+from tidemark.llm import semi_markov as sm
+
+# ---- personal data
+
+
+def test_base_spans_are_those_of_the_patterns():
+    r = random.Random(1)
+    for _ in range(20_000):
+        t = "".join(r.choice("a1@.-+ (9é") for _ in range(r.randint(0, 24)))
+        if r.random() < 0.3:
+            t += r.choice(["4111111111111111", "1.2.3.4", "a@b.c", "+1 (555) 123-4567", "1.2.3.4.5", "0001.2.3.4"]) + t[:3]
+        assert sm.base_spans(t) == spans(t), t
+
+
+def test_field_learns_boundaries_and_types():
+    field = sm.trained_field()
+    right = 0
+    for text, truth in sm.sentences(200, seed=99):
+        right += {s for a, b in sm.regions(text) for s in field.best(sm.Region(text, a, b))} == truth
+    assert right >= 190
+
+
+def test_dynamic_programme_is_exact():
+    field, r = sm.trained_field(), random.Random(2)
+    for text, _ in sm.sentences(40, seed=5):
+        for a, b in sm.regions(text):
+            region = sm.Region(text[: a + 40], a, min(b, a + 40))
+            n = len(region.tokens)
+
+            def best(i, region=region, n=n):
+                out = best(i + 1) if i < n else 0.0
+                for j, found in region.candidates[i] if i < n else ():
+                    out = max(out, max(field.score(k, found) for k in sm.ALL_KINDS) + rest(j))
+                return out
+
+            memo = {}
+
+            def rest(j):
+                if j not in memo:
+                    memo[j] = best(j)
+                return memo[j]
+
+            got = sum(field.score(k, region_features(region, s, e)) for s, e, k in field.best(region))
+            assert got == pytest.approx(rest(0))
+    assert r
+
+
+def region_features(region, start, stop):
+    i = next(n for n, t in enumerate(region.tokens) if t[0] == start)
+    return next(f for j, f in region.candidates[i] if region.tokens[j - 1][1] == stop)
+
+
+def test_documents(make, odd_rows):
+    texts = ["mail a.b@c.example.com, call +1 (826) 555-4081 190.1.2.3 or 4111 1111 1111 1111", 'é token = "ede43f42c939b6405768150e0411590525cf889e"', "call (555) 123-4567 now", "1.2.3.4" * 3, "9" * 50_000]
+    rows = [(i, t, None, None) for i, t in enumerate(texts, 500)] + odd_rows
+    got = sm.find_personal_data(make(rows)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(x[0] for x in rows)
+    by = {x[0]: x[1] for x in rows if x[0] and x[0] >= 500}
+    for r in got:
+        if r.doc_id in by:
+            base = spans(by[r.doc_id])
+            assert r.base == ",".join(f"{k}:{a}:{b}" for a, b, k in base) and {*r.base.split(",")} <= {*r.spans.split(","), ""}
+            assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[2] == k for s in base) for k in sm.KINDS)
+    listed = {r.doc_id: r.spans for r in got}
+    assert listed[501] == "secret:11:51" and listed[502] == "phone:5:19" and listed[71] == ""
+    assert sm.masked(texts[2], sm.trained_field()) == "call <phone> now"
+    assert sm.find_personal_data(make([])).count() == 0
+
+
+# ---- languages
+
+
+def speak(r, lang, n):
+    parts = {"xa": ["ba", "lo", "mi", "tu"], "yo": ["shr", "eck", "ung", "ist"], "zé": ["éa", "oui", "ç", "elle"]}[lang]
+    return " ".join("".join(r.choice(parts) for _ in range(r.randint(1, 4))) for _ in range(n))
+
+
+def test_languages(make, odd_rows):
+    r = random.Random(7)
+    rows = [(i, speak(r, l, r.randint(1, 80)), l, None) for i in range(100, 400) for l in [r.choice(["xa", "yo", "zé"])]]
+    rows += [(900, speak(r, "xa", 60) + " " + speak(r, "yo", 40), None, None), (901, "… — €", "xa", None), (902, "Ж", "xa", None)]
+    docs = make(rows + odd_rows[-15:])
+    model = lm.learn(docs.where(~lm.held_out()).where(F.col("lang").isin("xa", "yo", "zé")))
+    assert model.names == ["xa", "yo", "zé"]
+    got = lm.predict(docs.select("doc_id", "lang", "text"), model).collect()
+    assert len(got) == len(rows) + 15 and all(0 <= x.score <= 1 for x in got)
+    by = {x.doc_id: x for x in got}
+    assert all(by[x[0]].lang_pred == x[2] for x in rows[:300])
+    assert by[900].lang_pred == "xa" and 0.5 < by[900].score < 0.7
+    assert {by[i].lang_pred for i in (70, 71, 72, 77, 901)} == {"und"} and by[902].lang_pred != "und"
+    kept = lm.known_language(docs)
+    assert kept.columns == docs.columns
+    assert Counter(x.doc_id for x in kept.collect()) == Counter(x.doc_id for x in got if x.lang_pred != "und")
+
+
+def test_expectation_maximisation_raises_likelihood():
+    rng = np.random.default_rng(1)
+    gain = rng.random((40, 3)) + 1e-3
+    at, n = np.array([0, 25]), np.array([25, 15])
+    fits = []
+    share = np.full((2, 3), 1 / 3)
+    for _ in range(5):
+        share, fit = lm._fit(gain, at, n, share)
+        fits.append(fit)
+    assert (np.diff(fits, axis=0) >= -1e-9).all() and share.sum(axis=1) == pytest.approx([1, 1])
+
+
+def test_nothing_learned(make, odd_rows):
+    docs = make(odd_rows)
+    model = lm.learn(docs.where("1 = 0"))
+    assert {(r.lang_pred, r.score) for r in lm.predict(docs, model).collect()} == {("und", 0.0)}
+    assert lm.predict(make([]), model).count() == 0 and lm.known_language(make([])).count() == 0
+
+
+# ---- language model
+
+
+def slow_tree(texts, depth):
+    """Sequential context-tree weighting: log2 of the weighted probability at the root, bit by bit."""
+    counts = {}
+    for t in texts:
+        data = bytes(depth) + t + b"\0"
+        for i in range(depth, len(data)):
+            for level in range(8):
+                node = (1 << level) | (data[i] >> (8 - level))
+                bit = data[i] >> (7 - level) & 1
+                for d in range(depth + 1):
+                    counts.setdefault((data[i - d : i], node), [0, 0])[bit] += 1
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    weighted, stop = {}, {}
+    children = {}
+    for (c, n) in counts:
+        if c:
+            children.setdefault((c[1:], n), []).append((c, n))
+    for key in sorted(counts, key=lambda k: -len(k[0])):
+        own = kt(*counts[key])
+        if len(key[0]) == depth:
+            weighted[key], stop[key] = own, 1.0
+        else:
+            below = sum(weighted[k] for k in children[key])
+            weighted[key] = math.log(0.5) + float(np.logaddexp(own, below))
+            stop[key] = math.exp(math.log(0.5) + own - weighted[key])
+    return counts, stop
+
+
+def slow_score(model, text, depth):
+    counts, stop = model
+    total, data = 0.0, bytes(depth) + text + b"\0"
+    for i in range(depth, len(data)):
+        for level in range(8):
+            node, bit = (1 << level) | (data[i] >> (8 - level)), data[i] >> (7 - level) & 1
+            mixed = None
+            for d in range(depth, -1, -1):
+                key = (data[i - d : i], node)
+                if key in counts:
+                    z, o = counts[key]
+                    one = (o + 0.5) / (z + o + 1)
+                    mixed = one if mixed is None else stop[key] * one + (1 - stop[key]) * mixed
+            mixed = 0.5 if mixed is None else mixed
+            total += math.log10(mixed if bit else 1 - mixed)
+    return total
+
+
+def test_scores_are_those_of_the_weighted_tree(make):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(["the", "of", "ré", "Ion", "ti"]) for _ in range(r.randint(0, 12))), None, None) for i in range(60)]
+    rows += [(60, None, None, None), (61, "", None, None), (None, "the of", None, None), rows[3], (62, "xyz " * 5000, None, None)]
+    got = ct.score_documents(make(rows), lm.held_out(2, 7), depth=2).collect()
+    out = lambda x: x[0] is not None and crc(x[0]) % 7 == 2
+    train = [(x[1] or "") for x in rows if not out(x)]
+    model = slow_tree([t.lower().encode() if t.isascii() else bytes(t.encode()).lower() for t in train], 2)
+    counts = Counter(w for t in train for w in words(t))
+    counts["end"] = len(train)
+    n, v = sum(counts.values()), len(counts)
+    want = []
+    for x in rows:
+        tokens = [*words(x[1]), "end"]
+        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens)
+        want.append((x[0], out(x), len(tokens), sum(counts[w] > 0 for w in tokens), n, base, slow_score(model, (x[1] or "").encode().lower(), 2)))
+    key = lambda t: (t[0] is None, t[0] or 0, t[2])
+    for g, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
+        assert g[:5] == w[:5] and g[5] == pytest.approx(w[5]) and g[6] == pytest.approx(w[6], rel=1e-5)
+
+
+def test_rare_words_come_by_the_join(make, monkeypatch):
+    rows = [(i, f"common common rare{i % 9} once{i}", None, None) for i in range(50)]
+    whole = sorted(map(tuple, ct.score_documents(make(rows), lm.held_out(2, 7), depth=1).collect()))
+    monkeypatch.setattr(ct, "HOT_WORDS", 2)
+    assert [r[:5] for r in sorted(map(tuple, ct.score_documents(make(rows), lm.held_out(2, 7), depth=1).collect()))] == [r[:5] for r in whole]
+    assert [r[5] for r in sorted(map(tuple, ct.score_documents(make(rows), lm.held_out(2, 7), depth=1).collect()))] == pytest.approx([r[5] for r in whole])
+
+
+def test_probabilities_sum_to_one():
+    rng = np.random.default_rng(2)
+    grams, n = np.unique(rng.integers(0, 1 << 12, 3000).astype(np.uint64), return_counts=True)
+    depths = []
+    for d in range(2):
+        k, place = np.unique(grams & np.uint64((1 << (8 * d + 8)) - 1), return_inverse=True)
+        depths.append((k[: 200 * (d + 1)], np.bincount(place, weights=n).astype(np.int64)[: 200 * (d + 1)]))
+    tree = ct.ContextTree(depths)
+    for context in (0, 7, 300):
+        p = 10 ** tree.log10(np.uint64(context << 8) | np.arange(256, dtype=np.uint64))
+        assert p.sum() == pytest.approx(1)
+
+
+def test_no_documents_and_no_training(make, odd_rows):
+    assert ct.score_documents(make([]), lm.held_out(2, 7)).count() == 0
+    got = ct.score_documents(make(odd_rows), F.lit(True), depth=1).collect()
+    assert len(got) == len(odd_rows) and all(r.n_known == r.train_tokens == 0 for r in got)
+    one = next(r for r in got if r.doc_id == 73)
+    assert one.score == pytest.approx(-5 * 8 * math.log10(2)) and one.base_score == pytest.approx(0)
