@@ -4,26 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import series_key
+from .ordinals import with_position
 
 
 def dictionary(df: DataFrame, tags: Sequence[str], seq: str, known: DataFrame | None = None) -> DataFrame:
     """series_id (from 0 by first appearance), series_key and the tags.
 
-    With ``known``, its series keep their numbers and new ones follow the largest.  The window that
-    numbers runs over distinct new series, not rows.
+    With ``known``, its series keep their numbers and new ones follow the largest.  Numbers are given
+    by ranges of the order, so a measurement of very many series needs no global window.
     """
     found = df.withColumn("series_key", series_key(tags)).groupBy("series_key", *tags).agg(F.min(seq).alias("__first"))
-    shift = F.lit(0)
     if known is not None:
         found = found.join(known.select("series_key"), "series_key", "left_anti")
+    found, shift = with_position(found, ["__first", "series_key"], "__nth"), F.lit(0)
+    if known is not None:
         top = known.agg(F.coalesce(F.max("series_id") + 1, F.lit(0)).alias("__top"))
         found, shift = found.crossJoin(F.broadcast(top)), F.col("__top")  # one row
-    number = F.row_number().over(Window.orderBy("__first", "series_key")) - 1 + shift
-    new = found.select(number.cast("long").alias("series_id"), "series_key", *tags)
+    new = found.select((F.col("__nth") + shift).cast("long").alias("series_id"), "series_key", *tags)
     return known.select("series_id", "series_key", *tags).unionByName(new) if known is not None else new
 
 
