@@ -17,10 +17,9 @@ keyed with each residue class of the following blocks.  No pair within the bound
 Candidates of one key are not paired with each other as rows.  Each set is first paired with one
 key's smallest set; pairs are verified on the full shingle sets and links closed into components.
 Keys whose sets then lie in different components are gone through in tiles of bounded size, where
-short folded sketches and sizes rule out pairs by the same bound and what survives is verified.  A
-key with many more survivors than sets (copies that differ a little) gives only each set's nearest
-one, and is gone through again with components closed, at last for every survivor that still joins
-two components.
+short folded sketches and sizes rule out pairs by the same bound.  The survivors of a tile that span
+it (a forest, nearest pairs first) are verified and components closed again; keys with survivors
+beyond the forest are gone through anew, at last for every survivor that still joins two components.
 Copies never meet: equal shingle sets are one node throughout.
 
 Results: components are those of all pairs with Jaccard >= p/q.  Nodes are 64-bit hashes of shingle
@@ -29,6 +28,7 @@ sets; the chance that any two of N different sets share one is about N*N / 2**65
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,15 +38,21 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .components import components
+from .rows import attach, text_key
 from .store import discard, materialize
 
 RATIO = 1.4
 BLOCK_BITS = 1024
 _BITS = 10
+FOLDED_BITS = 512
 #: Rows of a key that meet in one task; larger keys are cut into tiles of two such parts.
 TILE_ROWS = 1024
 #: Per Python worker: distinct sets remembered so that copies emit no second set of keys. Only saves work.
 SEEN_LIMIT = 1 << 20
+#: Rows (two or four longs) of routes or labels that are sent to every executor; more are joined by a shuffle.
+BROADCAST_ROUTES = 1_000_000
+#: Pairs that meet with one copy of a text they share.
+PARTNERS = 512
 #: Bits of the candidate filter sent to executors: a fixed size, whatever the input.
 FILTER_BITS = 1 << 23
 
@@ -141,14 +147,14 @@ def band_keys(values: np.ndarray, bounds: np.ndarray, p: int, q: int) -> tuple[n
 
 
 def folded_sketches(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """1024-bit parity sketches: Hamming distance is at most the symmetric difference."""
+    """Parity sketches of FOLDED_BITS bits: Hamming distance is at most the symmetric difference."""
     out: list[bytes] = []
     for a in range(0, len(bounds) - 1, 2048):
         cut = bounds[a : a + 2049]
         row = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-        bit = (values[cut[0] : cut[-1]] >> np.uint64(7)).astype(np.int64) & (BLOCK_BITS - 1)
-        odd = (np.bincount(row * BLOCK_BITS + bit, minlength=(len(cut) - 1) * BLOCK_BITS) & 1).astype(np.uint8)
-        packed = np.packbits(odd.reshape(-1, BLOCK_BITS), axis=1)
+        bit = (values[cut[0] : cut[-1]] >> np.uint64(7)).astype(np.int64) & (FOLDED_BITS - 1)
+        odd = (np.bincount(row * FOLDED_BITS + bit, minlength=(len(cut) - 1) * FOLDED_BITS) & 1).astype(np.uint8)
+        packed = np.packbits(odd.reshape(-1, FOLDED_BITS), axis=1)
         out += [x.tobytes() for x in packed]
     return out
 
@@ -180,29 +186,28 @@ def _keyed(words: int, p: int, q: int):
                 np.cumsum(np.where(fresh, sizes, 0), out=cut[1:])
                 keys, at = band_keys(values[own], cut, p, q)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(nodes)).cast(pa.int64()), pa.array(sizes), pa.array(nodes.view(np.int64)), pa.array(folded_sketches(values, bounds), pa.binary()), tk.list_array(keys, at)],
-                    names=["doc_id", "n_shingles", "node", "sketch", "keys"],
+                    [batch.column("doc_id").slice(first, len(nodes)), batch.column("text_key").slice(first, len(nodes)), pa.array(sizes), pa.array(nodes.view(np.int64)), pa.array(folded_sketches(values, bounds), pa.binary()), tk.list_array(keys, at)],
+                    names=["doc_id", "text_key", "n_shingles", "node", "sketch", "keys"],
                 )
 
     return run
 
 
 def _picked(words: int, wanted: bytes):
-    """Shingle sets of the rows (node, doc_id) whose bit is set in ``wanted``."""
+    """Deflated texts of the rows (node, doc_id) whose bit is set in ``wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(wanted, dtype=np.uint8)
         for batch in batches:
-            for first, values, bounds, nodes in _sets(batch, words):
-                ids = batch.column("doc_id").slice(first, len(nodes))
-                slot = _slots(nodes, ids)
-                rows = np.flatnonzero((bits[slot >> 3] >> (slot & 7)) & 1 == 1)
-                for part in np.array_split(rows, max(1, len(rows) // 500)) if len(rows) else []:
-                    sizes = np.diff(bounds)[part]
-                    cut = np.zeros(len(part) + 1, dtype=np.int64)
-                    np.cumsum(sizes, out=cut[1:])
-                    flat = values[np.repeat(bounds[part] - cut[:-1], sizes) + np.arange(cut[-1])]
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[part].view(np.int64)), ids.take(pa.array(part)), tk.list_array(flat, cut)], names=["node", "doc_id", "grams"])
+            for first, _, _, nodes in _sets(batch, words):
+                own = batch.slice(first, len(nodes))
+                slot = _slots(nodes, own.column("doc_id"))
+                rows = pa.array(np.flatnonzero((bits[slot >> 3] >> (slot & 7)) & 1 == 1))
+                if len(rows):
+                    texts = [zlib.compress((t or "").encode(), 1) for t in own.column("text").take(rows).to_pylist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(nodes.view(np.int64)).take(rows), own.column("doc_id").take(rows), pa.array(texts, pa.binary())], names=["node", "doc_id", "packed"]
+                    )
 
     return run
 
@@ -212,20 +217,20 @@ def _slots(nodes: np.ndarray, ids: pa.Array) -> np.ndarray:
     return (tk.mix64(nodes + own * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
-def _filtered(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
-    """(node, grams) of the representatives (node, doc_id).
+def _routed(docs: DataFrame, routes: DataFrame, words: int) -> DataFrame:
+    """(node, target, part, packed): the deflated text of a node's representative for each of its routes.
 
-    The texts are read again rather than kept: a bit filter of fixed size picks the rows whose sets
-    are built, and the join with ``reps`` removes what the filter lets through.
+    routes: node, doc_id, target, part.  The texts are read again rather than kept: a bit filter of
+    fixed size picks the rows, and the join with ``routes`` removes what the filter lets through.
     """
     wanted = np.zeros(FILTER_BITS, dtype=bool)
-    slots = reps.mapInArrow(_slot_rows, "slot long").distinct()
+    slots = routes.select("node", "doc_id").mapInArrow(_slot_rows, "slot long").distinct()
     for batch in slots.toArrow().to_batches():
         wanted[batch.column("slot").to_numpy()] = True
-    found = docs.mapInArrow(_picked(words, np.packbits(wanted, bitorder="little").tobytes()), "node long, doc_id long, grams array<long>")
-    exact = reps.select(F.col("node").alias("__n"), F.col("doc_id").alias("__d"))
-    found = found.join(exact, (F.col("node") == F.col("__n")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
-    return found.select("node", "grams")
+    found = docs.select("doc_id", "text").mapInArrow(_picked(words, np.packbits(wanted, bitorder="little").tobytes()), "node long, doc_id long, packed binary")
+    exact = routes.select(F.col("node").alias("__n"), F.col("doc_id").alias("__d"), "target", "part")
+    exact = F.broadcast(exact) if routes.count() <= BROADCAST_ROUTES else exact
+    return found.join(exact, (F.col("node") == F.col("__n")) & F.col("doc_id").eqNullSafe(F.col("__d"))).select("node", "target", "part", "packed")
 
 
 def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,25 +239,72 @@ def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slots(nodes, batch.column("doc_id"))))], names=["slot"])
 
 
+def _checked(words: int, p: int, q: int):
+    """Of rows (node, target, part, packed), a target's own text first: the pairs whose sets reach Jaccard p/q, by exact integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        center, own = None, np.zeros(0, dtype=np.uint64)
+        for batch in (x.slice(at, 200) for x in batches for at in range(0, len(x), 200)):
+            u, v = [], []
+            texts = pa.array([zlib.decompress(t).decode() for t in batch.column("packed").to_pylist()], pa.string())
+            for first, values, bounds, _ in _sets(pa.RecordBatch.from_arrays([texts], names=["text"]), words):
+                rows = zip(batch.column("node").slice(first, len(bounds) - 1).to_pylist(), batch.column("target").slice(first, len(bounds) - 1).to_pylist(), strict=True)
+                for n, (node, target) in enumerate(rows):
+                    found = values[bounds[n] : bounds[n + 1]]
+                    if node == target:
+                        center, own = target, found
+                    elif center == target:
+                        common = len(np.intersect1d(own, found, assume_unique=True))
+                        if q * common >= p * (len(own) + len(found) - common):
+                            u.append(target)
+                            v.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, slim: DataFrame, words: int, p: int, q: int) -> DataFrame:
-    """The pairs (u, v) whose sets reach Jaccard p/q, by exact integers."""
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    reps = materialize(slim.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "ngram-reps")
-    grams = _filtered(docs, reps, words).dropDuplicates(["node"])
-    size = F.size("grams")
-    left = grams.select(F.col("node").alias("u"), F.col("grams").alias("a"), size.alias("na"))
-    right = grams.select(F.col("node").alias("v"), F.col("grams").alias("b"), size.alias("nb"))
-    checked = pairs.join(right, "v").join(left, "u").where(q * F.least("na", "nb") >= p * F.greatest("na", "nb"))
-    checked = checked.withColumn("common", F.size(F.array_intersect("a", "b"))).where(q * F.col("common") >= p * (F.col("na") + F.col("nb") - F.col("common")))
-    links = materialize(checked.select("u", "v"), "ngram-links")
-    discard(reps)
+    """The pairs (u, v) whose sets reach Jaccard p/q.
+
+    One exchange of texts: of a pair the node with fewer pairs goes to the other, which goes to itself,
+    once for every PARTNERS of its pairs.
+    """
+    degree = pairs.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").count()
+    for side in ("u", "v"):
+        pairs = pairs.join(degree.select(F.col("node").alias(side), F.col("count").alias(f"n{side}")), side)
+    pairs = pairs.select(F.expr("if(nu >= nv, u, v)").alias("u"), F.expr("if(nu >= nv, v, u)").alias("v"))
+    parts = pairs.groupBy("u").agg(F.expr(f"cast(ceil(count(*) / {PARTNERS}) as int)").alias("parts"))
+    to_u = pairs.join(parts, "u").select(F.col("v").alias("node"), F.col("u").alias("target"), F.expr("cast(pmod(xxhash64(v), parts) as int)").alias("part"))
+    own = parts.select(F.col("u").alias("node"), F.col("u").alias("target"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
+    routes = to_u.unionAll(own)
+    first = slim.join(routes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    routes = materialize(routes.join(first, "node"), "ngram-routes")
+    texts = _routed(docs, routes, words).repartition("target", "part").sortWithinPartitions("target", "part", F.col("node") != F.col("target"))
+    links = materialize(texts.mapInArrow(_checked(words, p, q), "u long, v long"), "ngram-links")
+    discard(routes)
     return links
 
 
-#: A tile with more surviving pairs than this times its rows gives each row's nearest one and comes again.
-DENSE = 4
-#: Rounds after which dense tiles give all their surviving pairs.
-NEAREST_ROUNDS = 3
+#: Rounds that verify spanning forests, before one that verifies all survivors.
+FOREST_ROUNDS = 2
+
+
+def _forest(tile: np.ndarray, i: np.ndarray, j: np.ndarray, away: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j) span their tiles, nearest first."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    keep = np.zeros(len(i), dtype=bool)
+    for n in np.lexsort((j, i, away, tile)).tolist():
+        a, b = top(int(i[n])), top(int(j[n]))
+        if a != b:
+            up[a], keep[n] = b, True
+    return keep
 
 
 def _tiles(p: int, q: int, all_pairs: bool):
@@ -277,21 +329,15 @@ def _tiles(p: int, q: int, all_pairs: bool):
         i, j, away = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
         heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         tile = np.searchsorted(heads, np.arange(len(group)), side="right") - 1
-        dense = np.bincount(tile[i], minlength=len(heads)) > DENSE * np.bincount(tile, minlength=len(heads))
-        if all_pairs:
-            dense[:] = False
-        thick = dense[tile[i]]
-        u, v = [node[i[~thick]]], [node[j[~thick]]]
-        if thick.any():
-            i, j, away = i[thick], j[thick], away[thick]
-            who, other, far = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([away, away])
-            order = np.lexsort((node[other], far, who))
-            order = order[np.append(True, who[order][1:] != who[order][:-1])]
-            u.append(node[who[order]])
-            v.append(node[other[order]])
-        u, v, again = np.concatenate(u), np.concatenate(v), np.unique(key[heads[dense]])
-        gap = [None] * len(again)
-        columns = [[*np.minimum(u, v).tolist(), *gap], [*np.maximum(u, v).tolist(), *gap], [*([None] * len(u)), *again.tolist()]]
+        more = np.zeros(0, dtype=np.int64)
+        if not all_pairs and len(i):
+            # equal sets of a tile are one node of its forest
+            spot = np.unique(np.stack([tile, node]), axis=1, return_inverse=True)[1].reshape(-1)
+            keep = _forest(tile[i], spot[i], spot[j], away)
+            more, i, j = np.unique(key[i[~keep]]), i[keep], j[keep]
+        u, v = node[i], node[j]
+        none, blank = [None] * len(more), [None] * len(u)
+        columns = [[*np.minimum(u, v).tolist(), *none], [*np.maximum(u, v).tolist(), *none], [*blank, *more.tolist()]]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["u", "v", "again"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,16 +367,16 @@ def _tiles(p: int, q: int, all_pairs: bool):
     return run
 
 
-def _survivors(keys: DataFrame, labels: DataFrame, slim: DataFrame, p: int, q: int, all_pairs: bool) -> DataFrame:
+def _survivors(keys: DataFrame, labels: DataFrame, sketches: DataFrame, p: int, q: int, all_pairs: bool) -> DataFrame:
     """(u, v, again): pairs u < v that keys in several components still ask about, and the keys to come again.
 
-    keys: key, node.
+    keys: key, node, distinct; sketches: node, n_shingles, sketch.
     """
+    labels = F.broadcast(labels) if labels.count() <= BROADCAST_ROUTES else labels
     named = keys.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).select("key", "node", "component")
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")).where("low <> high")
-    mixed = mixed.select("key", F.expr(f"cast(ceil(rows / {TILE_ROWS}) as int)").alias("parts"))
-    once = slim.where("n_shingles > 0").dropDuplicates(["node"]).select("node", "n_shingles", "sketch")
-    tiled = named.join(mixed, "key").withColumn("own", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
+    of_key = Window.partitionBy("key")
+    named = named.withColumns({"low": F.min("component").over(of_key), "high": F.max("component").over(of_key), "rows": F.count("*").over(of_key)}).where("low <> high")
+    tiled = named.withColumn("parts", F.expr(f"cast(ceil(rows / {TILE_ROWS}) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
     tiled = tiled.withColumn("other", F.expr("explode(sequence(0, parts - 1))"))
     tiled = tiled.select(
         F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"),
@@ -338,12 +384,12 @@ def _survivors(keys: DataFrame, labels: DataFrame, slim: DataFrame, p: int, q: i
         # within a part's own tile all pairs count, elsewhere only those of two parts
         F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own")).alias("part"),
         "node", "component",
-    ).join(once, "node")
+    ).join(sketches, "node")
     dealt = tiled.repartition("group").sortWithinPartitions("group", "node")
     return materialize(dealt.mapInArrow(_tiles(p, q, all_pairs), "u long, v long, again long"), "ngram-found")
 
 
-def _near(pairs: DataFrame, slim: DataFrame, p: int, q: int) -> DataFrame:
+def _near(pairs: DataFrame, sketches: DataFrame, p: int, q: int) -> DataFrame:
     """The pairs (u, v) that the sketch and size bounds let pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,14 +400,13 @@ def _near(pairs: DataFrame, slim: DataFrame, p: int, q: int) -> DataFrame:
             keep = ((q + p) * away <= (q - p) * (na + nb)) & (q * np.minimum(na, nb) >= p * np.maximum(na, nb))
             yield batch.select(["u", "v"]).filter(pa.array(keep))
 
-    once = slim.where("n_shingles > 0").dropDuplicates(["node"])
     for side in ("u", "v"):
-        pairs = pairs.join(once.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
+        pairs = pairs.join(sketches.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
     return pairs.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row per row of ``docs``: near-duplicate groups by shingles.
+    """(doc_id, text_key, n_shingles, component_id), a row per row of ``docs``: near-duplicate groups by shingles.
 
     docs: doc_id (long) and text; other columns are ignored.  Two texts link when Jaccard of their
     sets of ``words``-word shingles is at least p/q; component_id is the smallest doc_id reachable.
@@ -370,35 +415,50 @@ def jaccard_components(docs: DataFrame, words: int = 5, p: int = 80, q: int = 10
     (null when the group has no other).  Repeated rows give repeated result rows; an empty table
     gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = materialize(docs.mapInArrow(_keyed(words, p, q), "doc_id long, n_shingles long, node long, sketch binary, keys array<long>"), "ngram-base")
-    slim = materialize(base.select("doc_id", "n_shingles", "node", "sketch"), "ngram-nodes")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
+    base = materialize(docs.mapInArrow(_keyed(words, p, q), "doc_id long, text_key long, n_shingles long, node long, sketch binary, keys array<long>"), "ngram-base")
+    slim = materialize(base.select("doc_id", "text_key", "n_shingles", "node"), "ngram-nodes")
+    sketches = materialize(base.where("n_shingles > 0").select("node", "n_shingles", "sketch").dropDuplicates(["node"]), "ngram-sketches")
 
     by_key = Window.partitionBy("key")
     rows = base.select("node", F.explode("keys").alias("key")).withColumn("center", F.min("node").over(by_key)).withColumn("top", F.max("node").over(by_key))
-    shared = materialize(rows.where("center <> top").select("key", "node", "center"), "ngram-keys")
+    shared = materialize(rows.where("center <> top").select("key", "node", "center").dropDuplicates(["key", "node"]), "ngram-keys")
     discard(base)
 
     # each set against the center that it shares most keys with
     tried = shared.where("node <> center").groupBy("node", "center").agg(F.count("*").alias("n"))
     tried = tried.groupBy("node").agg(F.max(F.struct("n", "center")).alias("best")).select(F.col("best.center").alias("u"), F.col("node").alias("v"))
-    tried = materialize(_near(tried, slim, p, q), "ngram-pairs")
+    tried = materialize(_near(tried, sketches, p, q), "ngram-pairs")
     links = _verified(tried, docs, slim, words, p, q)
 
     # keys whose sets lie in different components still
-    keys = shared.select("key", "node").distinct()
-    for turn in range(NEAREST_ROUNDS + 1):
+    keys = shared.select("key", "node")
+    for turn in range(FOREST_ROUNDS + 1):
         labels = materialize(components(links), "ngram-labels")
-        found = _survivors(keys, labels, slim, p, q, turn == NEAREST_ROUNDS)
+        found = _survivors(keys, labels, sketches, p, q, turn == FOREST_ROUNDS)
         pairs = found.where("u is not null").select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
         pairs = materialize(pairs, "ngram-pairs")
+        again = materialize(found.where("again is not null").select(F.col("again").alias("key")).distinct(), "ngram-again")
         tried, links = tried.unionAll(pairs), links.unionAll(_verified(pairs, docs, slim, words, p, q))
-        again = found.where("again is not null").select(F.col("again").alias("key")).distinct()
         if again.isEmpty():
             break
-        keys = keys.join(again, "key", "left_semi")
+        keys = materialize(keys.join(again, "key", "left_semi"), "ngram-keys")
     labels = materialize(components(links), "ngram-labels")
 
     named = slim.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return named.join(least, "component", "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_per_group(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group, that of the smallest doc_id; columns stay.
+
+    Rows without words are in no group and all stay; of equal doc_ids the smaller text hash stays, of
+    equal rows one; a group in which no row has a doc_id is told apart by its texts' own sets only.
+    """
+    found = jaccard_components(docs, words, p, q)
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("text "), F.col("text_key").cast("string")))
+    kept = found.where("n_shingles > 0").groupBy(group.alias("group")).agg(F.min(rank).alias("first")).select("first.doc_id", "first.text_key")
+    rest = found.where("n_shingles = 0").select("doc_id", "text_key")
+    return attach(docs, kept.unionAll(rest).withColumn("__kept", F.lit(True)), "__kept").drop("__kept")

@@ -22,7 +22,7 @@ from .warc import archive_round_trip
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-word shingles, Jaccard of 0.85 or more, over all documents."""
-    return jaccard_components(read_table(spark, sf_dir, "documents"), words=4, p=85, q=100)
+    return jaccard_components(read_table(spark, sf_dir, "documents"), words=4, p=85, q=100).drop("text_key")
 
 
 def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
