@@ -3,6 +3,7 @@ import pytest
 from tidemark.engine import Config, Engine
 from tidemark.functions import varint_decode, varint_encode
 from tidemark.model import DAY, Closed, FieldTypeMismatch, InvalidPoint, NotFound, Point, Shape
+from tidemark.service import CallError, Service
 from tidemark.streaming import deduplicated, ingest
 
 
@@ -89,6 +90,47 @@ def test_compaction_delete_retention(engine):
     assert engine.query("db", "cpu", 0).count() == 6
 
 
+def test_shard_registry(engine):
+    fill(engine)
+    found = engine.refresh_shards("db", "cpu")
+    assert [(s["start"], s["n_points"], s["n_series"]) for s in found] == [(0, 4, 2), (DAY, 4, 2), (2 * DAY, 2, 2)]
+    assert [s["start"] for s in engine.catalog.registered_shards("db", "cpu", DAY, DAY + 1)] == [DAY]
+    engine.catalog.update_shard("db", "cpu", 0, n_points=9)
+    engine.catalog.unregister_shard("db", "cpu", DAY)
+    assert [(s["start"], s["n_points"]) for s in engine.catalog.registered_shards("db", "cpu")] == [(0, 9), (2 * DAY, 2)]
+    with pytest.raises(NotFound):
+        engine.catalog.unregister_shard("db", "cpu", DAY)
+
+
+def test_service(engine, tmp_path):
+    service = Service(engine)
+    point = {"database": "db", "measurement": "m", "timestamp": 7, "tags": {"host": "a"}, "fields": {"x": {"int64": 3}, "ok": {"bool": True}, "s": {"string": "t"}, "f": {"float64": 0.5}}}
+    assert service.write(point)["success"] and service.write_batch([point | {"timestamp": 8}])["written"] == 1
+    reply = service.query_range({"database": "db", "measurement": "m", "start": 0, "end": 10, "limit": 1})
+    assert reply["rows"] == [{k: point[k] for k in ("timestamp", "tags", "fields")}] and reply["has_more"]
+    assert service.list_measurements("no") == [] and service.health() == {"healthy": True, "version": "1.0.0"}
+    service.create_database("d2"), service.create_measurement("d2", "m2")
+    assert service.list_databases() == ["d2", "db"] and service.list_measurements("d2") == ["m2"]
+    service.drop_measurement("d2", "m2"), service.drop_database("d2")
+    for call, code in (
+        (lambda: service.drop_database("no"), "NOT_FOUND"),
+        (lambda: service.drop_measurement("db", "no"), "NOT_FOUND"),
+        (lambda: service.create_measurement("no", "m"), "INTERNAL"),
+        (lambda: service.write(point | {"database": ""}), "INTERNAL"),
+        (lambda: service.write(point | {"fields": {"x": {"bytes": b"a"}}}), "INTERNAL"),
+    ):
+        with pytest.raises(CallError) as e:
+            call()
+        assert e.value.code == code
+
+
+def test_import_and_tags(spark, engine, tmp_path):
+    (tmp_path / "in.json").write_text('{"timestamp": 5, "host": "a", "v": 1.5}\n{"timestamp": 3, "host": "b"}\n')
+    with engine.cancellable("load"):
+        engine.import_json("db", "j", f"file://{tmp_path}/in.json", Shape(tags=("host",), fields=("v",)), "timestamp long, host string, v double")
+    assert [tuple(r) for r in engine.query("db", "j", 0).collect()] == [(3, "b", None), (5, "a", 1.5)]
+
+
 def test_streaming(spark, engine, tmp_path):
     source = f"{tmp_path}/in"
     spark.createDataFrame([(1000, "a", 1.0), (1000, "a", 1.0), (2000, "b", 2.0), (-5, "b", 3.0)], "timestamp long, host string, v double").coalesce(1).write.parquet(source)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from .functions import zero_fill
 from .model import FIELD_TYPES, VERSION, WEEK, Closed, InvalidPoint, NotFound, Point, Shape, safe_name, type_name
-from .operators import ingest, maintenance, merge, ranges, series
+from .operators import ingest, maintenance, merge, ranges, series, shards
 from .sources.catalog import Catalog
 from .sources.files import Files
 from .sources.measurements import read_points, replace_shard, write_points
@@ -207,14 +207,14 @@ class Engine:
         marks = None
         if self.files.exists(at := self._tombstones(database, measurement)):
             marks = self.spark.read.parquet(at)
-        shards, path = self.shards(database, measurement), self._path(database, measurement)
-        for shard in shards:
+        stored, path = self.shards(database, measurement), self._path(database, measurement)
+        for shard in stored:
             own = self.spark.read.parquet(f"{path}/shard_start={shard}")
             replace_shard(merge.compacted(own, marks, keep, ("_seq",)).repartition(F.pmod(F.xxhash64("series_key"), F.lit(4))).sortWithinPartitions("timestamp", "_seq"), path, shard)
         if marks is not None:
             self.files.remove(at)
         self.spark.catalog.refreshByPath(path)
-        return shards
+        return stored
 
     def apply_retention(self, database: str, measurement: str, now: int, retention: int | None = None) -> list[int]:
         """Remove shards that end before now - retention; returns them."""
@@ -235,6 +235,32 @@ class Engine:
     def compaction_due(self, database: str, measurement: str, least_parts: int, size_limit: int) -> DataFrame:
         return maintenance.compaction_due(self.parts(database, measurement), least_parts, size_limit)
 
+    def refresh_shards(self, database: str, measurement: str) -> list[dict]:
+        """Count every shard in one pass and register what is found."""
+        width = max(1, self.config.shard_width)
+        counted = shards.shard_stats(self.table(database, measurement).select("timestamp", "series_key"), width, ("series_key",)).collect()  # a row per shard
+        for s in self.catalog.registered_shards(database, measurement):
+            self.catalog.unregister_shard(database, measurement, s["start"])
+        for r in counted:
+            self.catalog.register_shard(database, measurement, r.shard_start, r.shard_end, n_points=r.n_points, min_time=r.min_time, max_time=r.max_time, n_series=r.n_series)
+        return self.catalog.registered_shards(database, measurement)
+
+    @contextmanager
+    def cancellable(self, tag: str) -> Iterator[None]:
+        """Jobs started inside carry a tag by which ``cancel`` ends them."""
+        self.spark.addTag(tag)
+        try:
+            yield
+        finally:
+            self.spark.removeTag(tag)
+
+    def cancel(self, tag: str) -> None:
+        self.spark.interruptTag(tag)
+
+    def import_json(self, database: str, measurement: str, path: str, shape: Shape, schema: str) -> None:
+        """Append points of JSON lines (a column per tag and field) read with ``schema``, a DDL."""
+        self.write_frame(database, measurement, self.spark.read.schema(schema).json(path), shape)
+
     def flush_all(self) -> None:
         """Nothing is buffered: a write is stored when it returns."""
         self._open()
@@ -259,8 +285,3 @@ def _check(p: Point | None) -> None:
 
 def health(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.lit(True).alias("healthy"), F.lit(VERSION).alias("version"))
-
-
-def replayed(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Union of the points of several measurement folders, in the order of ``paths``."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [spark.read.parquet(p) for p in paths])

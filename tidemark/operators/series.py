@@ -20,11 +20,11 @@ def dictionary(df: DataFrame, tags: Sequence[str], seq: str, known: DataFrame |
     found = df.withColumn("series_key", series_key(tags)).groupBy("series_key", *tags).agg(F.min(seq).alias("__first"))
     if known is not None:
         found = found.join(known.select("series_key"), "series_key", "left_anti")
-    found, shift = with_position(found, ["__first", "series_key"], "__nth"), F.lit(0)
+    found, shift = with_position(found, ["__first", "series_key"], "__place"), F.lit(0)
     if known is not None:
         top = known.agg(F.coalesce(F.max("series_id") + 1, F.lit(0)).alias("__top"))
         found, shift = found.crossJoin(F.broadcast(top)), F.col("__top")  # one row
-    new = found.select((F.col("__nth") + shift).cast("long").alias("series_id"), "series_key", *tags)
+    new = found.select((F.col("__place") + shift).cast("long").alias("series_id"), "series_key", *tags)
     return known.select("series_id", "series_key", *tags).unionByName(new) if known is not None else new
 
 

@@ -108,3 +108,33 @@ class Catalog:
         doc = self._load()
         self._entry(doc, database, measurement)["retention"] = nanos
         self._save(doc)
+
+    # ---- the shard registry
+
+    def register_shard(self, database: str, measurement: str, start: int, end: int, **stats: int) -> None:
+        """Note a shard [start, end); one of the same start is replaced."""
+        if end <= start:
+            raise InvalidPoint("a shard ends after it starts")
+        doc = self._load()
+        self._entry(doc, database, measurement).setdefault("shards", {})[str(start)] = {"start": start, "end": end, **stats}
+        self._save(doc)
+
+    def unregister_shard(self, database: str, measurement: str, start: int) -> None:
+        doc = self._load()
+        if self._entry(doc, database, measurement).get("shards", {}).pop(str(start), None) is None:
+            raise NotFound(f"no shard {start}")
+        self._save(doc)
+
+    def registered_shards(self, database: str, measurement: str, start: int | None = None, end: int | None = None) -> list[dict]:
+        """Registered shards by start, or those that meet [start, end)."""
+        found = sorted(self._entry(self._load(), database, measurement).get("shards", {}).values(), key=lambda s: s["start"])
+        return [s for s in found if (end is None or s["start"] < end) and (start is None or s["end"] > start)]
+
+    def update_shard(self, database: str, measurement: str, start: int, **stats: int) -> None:
+        """Replace counts of a registered shard."""
+        doc = self._load()
+        shards = self._entry(doc, database, measurement).get("shards", {})
+        if str(start) not in shards:
+            raise NotFound(f"no shard {start}")
+        shards[str(start)] |= stats
+        self._save(doc)
