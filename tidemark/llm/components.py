@@ -13,14 +13,18 @@ from pyspark.sql import functions as F
 from .store import discard, materialize
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+#: Edges up to which a round's smallest neighbours are sent to every executor; beyond, they are joined by a shuffle.
+BROADCAST_EDGES = 1_000_000
+
+
+def _star(edges: DataFrame, large: bool, few: bool) -> DataFrame:
     """large: hang every larger neighbour of a node on its smallest one; else the smaller neighbours."""
     if large:
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = both.join(least, "u")
+    joined = both.join(F.broadcast(least) if few else least, "u")
     if large:
         moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -35,9 +39,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     an empty table gives an empty result.
     """
     now = materialize(edges.select("u", "v").where("u is not null and v is not null and u <> v").distinct(), "edges")
-    before = None
+    before, few = None, now.count() <= BROADCAST_EDGES  # a round makes no more edges than nodes, twice the edges at most
     for _ in range(rounds):
-        step = materialize(_star(_star(now, True), False), "edges")
+        step = materialize(_star(_star(now, True, few), False, few), "edges")
         stamp = step.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         discard(now)
         now = step

@@ -44,7 +44,8 @@ from .store import discard, materialize
 RATIO = 1.4
 BLOCK_BITS = 1024
 _BITS = 10
-FOLDED_BITS = 512
+#: Bits per shingle of the folded sketches.
+FOLDED_BITS = 2
 #: Rows of a key that meet in one task; larger keys are cut into tiles of two such parts.
 TILE_ROWS = 1024
 #: Per Python worker: distinct sets remembered so that copies emit no second set of keys. Only saves work.
@@ -147,15 +148,27 @@ def band_keys(values: np.ndarray, bounds: np.ndarray, p: int, q: int) -> tuple[n
 
 
 def folded_sketches(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """Parity sketches of FOLDED_BITS bits: Hamming distance is at most the symmetric difference."""
+    """Parity sketches of the first power of two of at least FOLDED_BITS bits per value: Hamming distance is at most the symmetric difference."""
     out: list[bytes] = []
-    for a in range(0, len(bounds) - 1, 2048):
-        cut = bounds[a : a + 2049]
-        row = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-        bit = (values[cut[0] : cut[-1]] >> np.uint64(7)).astype(np.int64) & (FOLDED_BITS - 1)
-        odd = (np.bincount(row * FOLDED_BITS + bit, minlength=(len(cut) - 1) * FOLDED_BITS) & 1).astype(np.uint8)
-        packed = np.packbits(odd.reshape(-1, FOLDED_BITS), axis=1)
-        out += [x.tobytes() for x in packed]
+    bits = np.maximum(256, 1 << np.ceil(np.log2(np.maximum(1, FOLDED_BITS * np.diff(bounds)))).astype(np.int64))
+    for a in range(0, len(bounds) - 1, 512):
+        cut, wide = bounds[a : a + 513], bits[a : a + 512]
+        base = np.zeros(len(wide) + 1, dtype=np.int64)
+        np.cumsum(wide, out=base[1:])
+        row = np.repeat(np.arange(len(wide)), np.diff(cut))
+        bit = (values[cut[0] : cut[-1]] >> np.uint64(7)).astype(np.int64) & (wide[row] - 1)
+        odd = (np.bincount(base[row] + bit, minlength=base[-1]) & 1).astype(np.uint8)
+        packed = np.packbits(odd).tobytes()
+        out += [packed[x // 8 : y // 8] for x, y in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
+    return out
+
+
+def _folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches as rows of 64-bit words, folded to ``size`` bytes: halves XORed, which only lowers distances."""
+    out = np.zeros((len(sketches), size // 8), dtype=np.uint64)
+    for n, x in enumerate(sketches):
+        row = np.frombuffer(x, dtype=np.uint64)
+        out[n] = row if len(x) == size else np.bitwise_xor.reduce(row.reshape(-1, size // 8), axis=0)
     return out
 
 
@@ -204,7 +217,7 @@ def _picked(words: int, wanted: bytes):
                 slot = _slots(nodes, own.column("doc_id"))
                 rows = pa.array(np.flatnonzero((bits[slot >> 3] >> (slot & 7)) & 1 == 1))
                 if len(rows):
-                    texts = [zlib.compress((t or "").encode(), 1) for t in own.column("text").take(rows).to_pylist()]
+                    texts = [zlib.compress((t or "").encode(), 6) for t in own.column("text").take(rows).to_pylist()]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(nodes.view(np.int64)).take(rows), own.column("doc_id").take(rows), pa.array(texts, pa.binary())], names=["node", "doc_id", "packed"]
                     )
@@ -217,6 +230,11 @@ def _slots(nodes: np.ndarray, ids: pa.Array) -> np.ndarray:
     return (tk.mix64(nodes + own * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """A broadcast of a stored table of at most BROADCAST_ROUTES rows, else the table as it is."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROUTES else table
+
+
 def _routed(docs: DataFrame, routes: DataFrame, words: int) -> DataFrame:
     """(node, target, part, packed): the deflated text of a node's representative for each of its routes.
 
@@ -229,8 +247,7 @@ def _routed(docs: DataFrame, routes: DataFrame, words: int) -> DataFrame:
         wanted[batch.column("slot").to_numpy()] = True
     found = docs.select("doc_id", "text").mapInArrow(_picked(words, np.packbits(wanted, bitorder="little").tobytes()), "node long, doc_id long, packed binary")
     exact = routes.select(F.col("node").alias("__n"), F.col("doc_id").alias("__d"), "target", "part")
-    exact = F.broadcast(exact) if routes.count() <= BROADCAST_ROUTES else exact
-    return found.join(exact, (F.col("node") == F.col("__n")) & F.col("doc_id").eqNullSafe(F.col("__d"))).select("node", "target", "part", "packed")
+    return found.join(_small(exact), (F.col("node") == F.col("__n")) & F.col("doc_id").eqNullSafe(F.col("__d"))).select("node", "target", "part", "packed")
 
 
 def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,16 +294,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, slim: DataFrame, words: int, p:
     to_u = pairs.join(parts, "u").select(F.col("v").alias("node"), F.col("u").alias("target"), F.expr("cast(pmod(xxhash64(v), parts) as int)").alias("part"))
     own = parts.select(F.col("u").alias("node"), F.col("u").alias("target"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
     routes = to_u.unionAll(own)
-    first = slim.join(routes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    nodes = materialize(routes.select("node").distinct(), "ngram-reps")
+    first = slim.join(_small(nodes), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     routes = materialize(routes.join(first, "node"), "ngram-routes")
     texts = _routed(docs, routes, words).repartition("target", "part").sortWithinPartitions("target", "part", F.col("node") != F.col("target"))
     links = materialize(texts.mapInArrow(_checked(words, p, q), "u long, v long"), "ngram-links")
-    discard(routes)
+    discard(nodes, routes)
     return links
 
 
 #: Rounds that verify spanning forests, before one that verifies all survivors.
-FOREST_ROUNDS = 2
+FOREST_ROUNDS = 1
 
 
 def _forest(tile: np.ndarray, i: np.ndarray, j: np.ndarray, away: np.ndarray) -> np.ndarray:
@@ -310,8 +328,8 @@ def _forest(tile: np.ndarray, i: np.ndarray, j: np.ndarray, away: np.ndarray) ->
 def _tiles(p: int, q: int, all_pairs: bool):
     """Pairs of a tile that lie in different components and within the sketch and size bounds."""
 
-    def survivors(group, key, part, node, component, size, sketch) -> pa.RecordBatch:
-        found, at = [], np.arange(len(node))
+    def near(group, part, node, component, size, sketch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        at = np.arange(len(node))
         for gap in range(1, len(node)):
             at = at[at + gap < len(node)]
             at = at[group[at] == group[at + gap]]
@@ -321,13 +339,23 @@ def _tiles(p: int, q: int, all_pairs: bool):
             use = (component[at] != component[at + gap]) & (node[at] != node[at + gap]) & (q * np.minimum(a, b) >= p * np.maximum(a, b))
             use &= (part[at] != part[at + gap]) | (part[at] < 0)
             i = at[use]
-            for cut in range(0, len(i), 1 << 16):
-                j = i[cut : cut + (1 << 16)]
+            step = max(1, (1 << 20) // sketch.shape[1])
+            for cut in range(0, len(i), step):
+                j = i[cut : cut + step]
                 away = np.bitwise_count(sketch[j] ^ sketch[j + gap]).sum(axis=1, dtype=np.int64)
                 keep = (q + p) * away <= (q - p) * (size[j] + size[j + gap])
-                found.append((j[keep], j[keep] + gap, away[keep]))
-        i, j, away = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+                yield j[keep], j[keep] + gap, away[keep]
+
+    def survivors(group, key, part, node, component, size, sketches) -> pa.RecordBatch:
+        found = []
         heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        least = np.minimum.reduceat(np.array([len(x) for x in sketches]), heads)  # a tile's sketches are folded to its shortest
+        width = np.repeat(least, np.diff(np.append(heads, len(group))))
+        for size_of in np.unique(least):
+            rows = np.flatnonzero(width == size_of)
+            folded = _folded([sketches[r] for r in rows], int(size_of))
+            found += [(rows[i], rows[j], away) for i, j, away in near(group[rows], part[rows], node[rows], component[rows], size[rows], folded)]
+        i, j, away = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
         tile = np.searchsorted(heads, np.arange(len(group)), side="right") - 1
         more = np.zeros(0, dtype=np.int64)
         if not all_pairs and len(i):
@@ -345,8 +373,7 @@ def _tiles(p: int, q: int, all_pairs: bool):
 
         def columns(rows: pa.Table) -> tuple:
             number = lambda c: rows.column(c).combine_chunks().to_numpy(zero_copy_only=False)
-            flat = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(rows), -1)
-            return number("group"), number("key"), number("part"), number("node"), number("component"), number("n_shingles"), flat
+            return number("group"), number("key"), number("part"), number("node"), number("component"), number("n_shingles"), rows.column("sketch").to_pylist()
 
         def settle(last: bool) -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(held)
@@ -372,8 +399,7 @@ def _survivors(keys: DataFrame, labels: DataFrame, sketches: DataFrame, p: int,
 
     keys: key, node, distinct; sketches: node, n_shingles, sketch.
     """
-    labels = F.broadcast(labels) if labels.count() <= BROADCAST_ROUTES else labels
-    named = keys.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).select("key", "node", "component")
+    named = keys.join(_small(labels), "node", "left").withColumn("component", F.coalesce("component", "node")).select("key", "node", "component")
     of_key = Window.partitionBy("key")
     named = named.withColumns({"low": F.min("component").over(of_key), "high": F.max("component").over(of_key), "rows": F.count("*").over(of_key)}).where("low <> high")
     tiled = named.withColumn("parts", F.expr(f"cast(ceil(rows / {TILE_ROWS}) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
@@ -394,9 +420,10 @@ def _near(pairs: DataFrame, sketches: DataFrame, p: int, q: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(len(batch), -1) for c in ("su", "sv"))
             na, nb = (batch.column(c).to_numpy() for c in ("nu", "nv"))
-            away = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            both = zip(batch.column("su").to_pylist(), batch.column("sv").to_pylist(), strict=True)
+            folded = ([_folded([x], min(len(a), len(b))) for x in (a, b)] for a, b in both)
+            away = np.array([int(np.bitwise_count(a ^ b).sum()) for a, b in folded], dtype=np.int64)
             keep = ((q + p) * away <= (q - p) * (na + nb)) & (q * np.minimum(na, nb) >= p * np.maximum(na, nb))
             yield batch.select(["u", "v"]).filter(pa.array(keep))
 
@@ -426,8 +453,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, p: int = 80, q: int = 10
     discard(base)
 
     # each set against the center that it shares most keys with
-    tried = shared.where("node <> center").groupBy("node", "center").agg(F.count("*").alias("n"))
-    tried = tried.groupBy("node").agg(F.max(F.struct("n", "center")).alias("best")).select(F.col("best.center").alias("u"), F.col("node").alias("v"))
+    tried = shared.where("node <> center").groupBy("node").agg(F.mode("center", True).alias("u")).select("u", F.col("node").alias("v"))
     tried = materialize(_near(tried, sketches, p, q), "ngram-pairs")
     links = _verified(tried, docs, slim, words, p, q)
 
@@ -445,7 +471,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, p: int = 80, q: int = 10
         keys = materialize(keys.join(again, "key", "left_semi"), "ngram-keys")
     labels = materialize(components(links), "ngram-labels")
 
-    named = slim.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = slim.join(_small(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     return named.join(least, "component", "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
