@@ -47,7 +47,8 @@ class Node:
             if len(found) > 1 or len(rest):
                 self.children = [Node(x, *f) for f in found if len(f[0]) > 1]
                 single = [f[0] for f in found if len(f[0]) == 1]
-                for part in [np.concatenate(single)] * bool(single) + [rest] * bool(len(rest)):
+                parts = ([np.concatenate(single)] if single else []) + ([rest] if len(rest) else [])
+                for part in parts:
                     leaf = Node(x, part[:0], center, radius)
                     leaf.rows = part
                     self.children.append(leaf)
