@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .components import components
 from .rows import attach, text_key
-from .store import discard, materialize
+from .store import discard, materialize, release
 
 RATIO = 1.4
 BLOCK_BITS = 1024
@@ -432,6 +432,13 @@ def _near(pairs: DataFrame, sketches: DataFrame, p: int, q: int) -> DataFrame:
     return pairs.select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long")
 
 
+def _shared_keys(base: DataFrame) -> DataFrame:
+    """key, node, center (the key's smallest node) of the keys that several nodes have."""
+    of_key = Window.partitionBy("key")
+    rows = base.select("node", F.explode("keys").alias("key")).withColumn("center", F.min("node").over(of_key)).withColumn("top", F.max("node").over(of_key))
+    return materialize(rows.where("center <> top").select("key", "node", "center").dropDuplicates(["key", "node"]), "ngram-keys")
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id), a row per row of ``docs``: near-duplicate groups by shingles.
 
@@ -447,10 +454,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, p: int = 80, q: int = 10
     slim = materialize(base.select("doc_id", "text_key", "n_shingles", "node"), "ngram-nodes")
     sketches = materialize(base.where("n_shingles > 0").select("node", "n_shingles", "sketch").dropDuplicates(["node"]), "ngram-sketches")
 
-    by_key = Window.partitionBy("key")
-    rows = base.select("node", F.explode("keys").alias("key")).withColumn("center", F.min("node").over(by_key)).withColumn("top", F.max("node").over(by_key))
-    shared = materialize(rows.where("center <> top").select("key", "node", "center").dropDuplicates(["key", "node"]), "ngram-keys")
+    shared = _shared_keys(base)
     discard(base)
+    release(docs.sparkSession)
 
     # each set against the center that it shares most keys with
     tried = shared.where("node <> center").groupBy("node").agg(F.mode("center", True).alias("u")).select("u", F.col("node").alias("v"))
@@ -470,6 +476,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, p: int = 80, q: int = 10
             break
         keys = materialize(keys.join(again, "key", "left_semi"), "ngram-keys")
     labels = materialize(components(links), "ngram-labels")
+    discard(shared, sketches)
+    release(docs.sparkSession)
 
     named = slim.join(_small(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
