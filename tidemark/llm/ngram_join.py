@@ -181,7 +181,24 @@ def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray,
         yield first, values, bounds, set_hashes(values, bounds)
 
 
+def _noded(words: int):
+    """Each row's node, the size of its set and a folded sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, values, bounds, nodes in _sets(batch, words):
+                own = batch.slice(first, len(nodes))
+                yield pa.RecordBatch.from_arrays(
+                    [own.column("doc_id"), own.column("text_key"), pa.array(np.diff(bounds)), pa.array(nodes.view(np.int64)), pa.array(folded_sketches(values, bounds), pa.binary())],
+                    names=["doc_id", "text_key", "n_shingles", "node", "sketch"],
+                )
+
+    return run
+
+
 def _keyed(words: int, p: int, q: int):
+    """node and keys of each text whose set is new to the worker."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -198,10 +215,7 @@ def _keyed(words: int, p: int, q: int):
                 cut = np.zeros(len(bounds), dtype=np.int64)
                 np.cumsum(np.where(fresh, sizes, 0), out=cut[1:])
                 keys, at = band_keys(values[own], cut, p, q)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(nodes)), batch.column("text_key").slice(first, len(nodes)), pa.array(sizes), pa.array(nodes.view(np.int64)), pa.array(folded_sketches(values, bounds), pa.binary()), tk.list_array(keys, at)],
-                    names=["doc_id", "text_key", "n_shingles", "node", "sketch", "keys"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), tk.list_array(keys, at)], names=["node", "keys"])
 
     return run
 
@@ -450,12 +464,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, p: int = 80, q: int = 10
     gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
-    base = materialize(docs.mapInArrow(_keyed(words, p, q), "doc_id long, text_key long, n_shingles long, node long, sketch binary, keys array<long>"), "ngram-base")
+    base = materialize(docs.mapInArrow(_noded(words), "doc_id long, text_key long, n_shingles long, node long, sketch binary"), "ngram-base")
     slim = materialize(base.select("doc_id", "text_key", "n_shingles", "node"), "ngram-nodes")
     sketches = materialize(base.where("n_shingles > 0").select("node", "n_shingles", "sketch").dropDuplicates(["node"]), "ngram-sketches")
 
-    shared = _shared_keys(base)
     discard(base)
+    shared = _shared_keys(docs.mapInArrow(_keyed(words, p, q), "node long, keys array<long>"))
     release(docs.sparkSession)
 
     # each set against the center that it shares most keys with
