@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import crc, spans, words
 from pyspark.sql import functions as F
@@ -201,6 +202,42 @@ def test_rare_words_come_by_the_join(make, monkeypatch):
     assert [r[5] for r in sorted(map(tuple, ct.score_documents(make(rows), lm.held_out(2, 7), depth=1).collect()))] == pytest.approx([r[5] for r in whole])
 
 
+def test_no_context_is_left_out(make):
+    """More than 2**18 sequences, nearly all of them rare, in which the next byte depends on the five before it."""
+    rng = np.random.default_rng(5)
+    vocabulary = rng.integers(97, 117, (12_000, 7)).astype(np.uint8)
+    rows = [(i, vocabulary[rng.integers(0, len(vocabulary), 1_800)].tobytes().decode(), None, None) for i in range(40)]
+    got = {x.doc_id: x.score for x in ct.score_documents(make(rows), lm.held_out(2, 7)).collect()}
+    grams = {x[0]: ct.byte_grams(np.frombuffer(x[1].encode(), np.uint8), np.array([0, len(x[1])]))[0] for x in rows}
+    train = np.concatenate([g for i, g in grams.items() if crc(i) % 7 != 2])
+    whole = ct.ContextTree([np.unique(train & np.uint64((1 << (8 * d + 8)) - 1), return_counts=True) for d in range(ct.DEPTH + 1)])
+    assert len(np.unique(train)) > 1 << 18
+    for i, g in grams.items():
+        assert got[i] == pytest.approx(whole.log10(g).sum(), rel=1e-9)
+
+
+def test_rare_sequences_come_by_the_join(make, monkeypatch):
+    r = random.Random(8)
+    rows = [(i, "".join(r.choice("abcdefghij é") for _ in range(r.randint(0, 90))), None, None) for i in range(50)]
+    monkeypatch.setattr(ct, "HOT_GRAMS", 20)
+    got = ct.score_documents(make(rows), lm.held_out(2, 7), depth=4).collect()
+    model = slow_tree([x[1].encode() for x in rows if crc(x[0]) % 7 != 2], 4)
+    by = {x.doc_id: x for x in got}
+    assert len(by) == len(rows) and any(x.held_out for x in got)
+    for i, text, *_ in rows:
+        assert by[i].score == pytest.approx(slow_score(model, text.encode(), 4), rel=1e-6)
+
+
+def test_chunks_hold_whole_contexts(monkeypatch):
+    monkeypatch.setattr(ct, "CHUNK_GRAMS", 30)
+    rng = np.random.default_rng(6)
+    key = np.sort(rng.integers(0, 40, 500)).astype(np.int64) << 8
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + 7]), pa.array(key[i : i + 7])], names=["key", "n"]) for i in range(0, 500, 7)]
+    chunks = list(ct._by_context(lambda k, n: iter([k]), 2)(iter(batches)))
+    assert np.array_equal(np.concatenate(chunks), key.view(np.uint64)) and len(chunks) > 5
+    assert all(a[-1] < b[0] for a, b in zip(chunks, chunks[1:]))
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(2)
     grams, n = np.unique(rng.integers(0, 1 << 12, 3000).astype(np.uint64), return_counts=True)
