@@ -79,6 +79,16 @@ def test_documents(make, odd_rows):
     assert sm.find_personal_data(make([])).count() == 0
 
 
+def test_spelled_addresses_without_digits():
+    field = sm.trained_field()
+    for address in ("jane.doe (at) example (dot) com", "bob[at]site[dot]org", "bob (at) site.example.org"):
+        for text in (address, f"please write to {address} or come by", f"é {address}, thanks"):
+            at = text.index(address)
+            assert sm.all_spans(text, field) == [(at, at + len(address), "email")], text
+    for text in ("we met (at) noon and left", "the value arr[at] is read. com"):
+        assert sm.all_spans(text, field) == []
+
+
 # ---- languages
 
 

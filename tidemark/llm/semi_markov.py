@@ -1,6 +1,6 @@
 """Personal data by patterns and a semi-Markov conditional random field.
 
-Base spans come from fixed patterns.  Around digits and at-signs the text is cut to tokens, and a
+Base spans come from fixed patterns.  Around digits and at-signs, also spelled (at) or [at], the text is cut to tokens, and a
 semi-Markov CRF scores whole candidate spans: features look at all of a span (shape, digits, checksum,
 the words before it), entities are at most MOST_TOKENS long, and dynamic programming chooses
 boundaries and types together.  Its weights are learned here, by likelihood, from sentences made by a
@@ -25,7 +25,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Kinds that the field may add, in the order in which equal starts are listed.
 ALL_KINDS = (*KINDS, "secret")
 MOST_TOKENS = 14
-#: Tokens on either side of a digit or at-sign that are decoded with it.
+#: Tokens on either side of a digit or (spelled) at-sign that are decoded with it.
 REACH = 6
 SENTENCES = 600
 EPOCHS = 12
@@ -82,8 +82,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 # ---- the field
 
-_TOKEN = re.compile(r"[A-Za-z0-9]{24,}|[A-Za-z]+|[0-9]+|[^\W\d_]+|\s+|[^\sA-Za-z0-9]")
-_ANCHOR = re.compile(r"[0-9@]")
+_TOKEN = re.compile(r"\((?:at|dot)\)|\[(?:at|dot)\]|[A-Za-z0-9]{24,}|[A-Za-z]+|[0-9]+|[^\W\d_]+|\s+|[^\sA-Za-z0-9]")
+_ANCHOR = re.compile(r"[0-9@]|\(at\)|\[at\]")
 _SHAPES = (
     ("dashed", re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}")),
     ("plus", re.compile(r"\+[0-9][0-9 ().-]{8,18}[0-9]")),
@@ -143,9 +143,9 @@ class Region:
 
 
 def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches around digits and at-signs; tokens between them can be no entity."""
+    """Stretches around digits and (spelled) at-signs; tokens between them can be no entity."""
     start = stop = -1
-    for m in re.finditer(r"[0-9@][0-9@ .()-]*", text):
+    for m in re.finditer(r"(?:[0-9@]|\(at\)|\[at\])[0-9@ .()-]*", text):
         a, b = m.start(), m.end()
         for _ in range(REACH):  # whole words, and the blanks between them
             a = max(text.rfind(" ", 0, max(0, a - 1)), text.rfind("\n", 0, max(0, a - 1)), a - 80, 0)
@@ -240,7 +240,8 @@ def sentences(count: int = SENTENCES, seed: int = 17) -> Iterator[tuple[str, set
             return "", f"{word()}{r.choice(['.', '_', ''])}{digits(r.randint(0, 2))}{word()}@{word()}.{r.choice(['example.com', 'net', 'org'])}", "email"
         if pick == 1:
             at, dot = r.choice([("(at)", "(dot)"), ("[at]", "[dot]"), ("[at]", ".")])
-            return "", f"{word()}{digits(2)} {at} {word()} {dot} com".replace(" . ", "."), "email"
+            body = f"{word()}{r.choice(['.', '_', ''])}{word()}{digits(r.choice([0, 2]))} {at} {word()} {dot} {r.choice(['com', 'net', 'org'])}".replace(" . ", ".")
+            return "", r.choice([body, body.replace(" ", "")]), "email"
         if pick == 2:
             return "", ".".join(str(r.randint(1, 255)) for _ in range(4)), "ip"
         if pick == 3:
@@ -252,7 +253,9 @@ def sentences(count: int = SENTENCES, seed: int = 17) -> Iterator[tuple[str, set
             return r.choice(["phone ", "call ", "tel: ", ""]), r.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}"]), "phone"
         if pick == 7:
             return r.choice(["token = \"", "key: ", "secret="]), "".join(r.choice("0123456789abcdef") for _ in range(40)), "secret"
-        miss = r.randrange(5)
+        miss = r.randrange(6)
+        if miss == 5:
+            return "", r.choice([f"{word()} (at) {word()}", f"{word()}[at] {word()}"]), ""
         if miss == 0:
             return "", number(False), ""
         if miss == 1:
