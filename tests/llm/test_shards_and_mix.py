@@ -6,6 +6,7 @@ import pytest
 from brute import targets, words
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm.hilbert import hilbert_index, hilbert_shards, shard_documents
 from tidemark.llm.mixing import mix_blocks, mix_documents, source_quotas, splitting_tree
 
@@ -109,3 +110,21 @@ def test_mix_documents(make, odd_rows):
     for k, n in got.items():
         assert n <= 3 * copies[k] and (k[1] == 0 or n <= copies[k] * (bounds[k] + 1))
     assert source_quotas(rows.select("source", "size")).where(F.col("quota") > 3 * F.col("source_size")).count() == 0
+
+
+def test_stage_meets_quotas_to_the_word(spark, make, odd_rows):
+    """Also those that end before the middle of a source's only document."""
+    long = [(900, " \n" + " ".join(f"w{i}" for i in range(1000)), "en", "a"), *((901 + i, "x y\tz é " * 5, "en", s) for i, s in enumerate("bbbccc"))]
+    for rows in (long, odd_rows):
+        docs = make(rows)
+        out = corpus_pipeline.mixing(spark, docs, "")
+        assert out.columns == docs.columns
+        quota = {r.source: r.quota for r in mix_blocks(docs)[0].select("source", "quota").distinct().collect()}
+        taken, whole = Counter(), Counter((x[0], x[1], x[3]) for x in rows)
+        cut = Counter()
+        for r in out.collect():
+            taken[r.source] += len(words(r.text))
+            if (r.doc_id, r.text, r.source) not in whole:
+                cut[r.source] += 1
+                assert r.n_chars == len(r.text) and any(x[0] == r.doc_id and x[1].startswith(r.text) for x in rows)
+        assert {s: n for s, n in taken.items() if n} == {s: n for s, n in quota.items() if n} and set(cut.values()) <= {1}

@@ -122,3 +122,27 @@ def mix_documents(docs: DataFrame, cap: int = 3, seed: str = SEED) -> DataFrame:
     times = F.when(F.col("size") == 0, F.least(times, F.lit(1))).otherwise(F.least(times, F.lit(cap)))
     decided = rows.select("doc_id", "text_key", times.alias("__times")).where("__times > 0")
     return attach(docs, decided, "__times").withColumn("__times", F.expr("explode(sequence(1, __times))")).drop("__times")
+
+
+def deal_documents(docs: DataFrame, cap: int = 3, seed: str = SEED) -> DataFrame:
+    """``docs`` as ``mix_blocks`` deals them: a row for each pass in which words of a document are drawn.
+
+    A pass's pieces make up the beginning of the document, nearly always all of it: only the document at
+    which a source's quota ends is cut there, behind its last drawn word, so each quota is met to the
+    word.  Columns stay; ``n_chars`` follows a cut text.  A document without words is kept once when its
+    place lies in the first pass's quota.
+    """
+    rows, pieces = mix_blocks(docs, cap=cap, seed=seed)
+    takes = pieces.groupBy("rid", "epoch").agg(F.sum(F.col("last_word") - F.col("first_word")).alias("take"))
+    takes = takes.groupBy("rid").agg(F.sort_array(F.collect_list("take")).alias("__takes"))
+    blank = F.expr("if(size = 0 and (source_size = 0 or at < quota), array(0L), null)")
+    decided = rows.join(takes, "rid", "left").select("doc_id", "text_key", F.coalesce("__takes", blank).alias("__takes"), F.col("size").alias("__size"))
+    drawn = attach(docs, decided.where("__takes is not null"), "__takes", "__size").withColumn("__take", F.explode("__takes"))
+    space = WORD.replace("^", "").rstrip("+")
+    parts = f"split(text, '(?<={space})(?!{space})')"  # words with the blanks behind them; blanks in front are one more
+    cut = F.expr(f"regexp_replace(array_join(slice({parts}, 1, cast(__take + if(text rlike '^{space}', 1, 0) as int)), ''), '{space}+$', '')")
+    short = F.col("__take") < F.col("__size")
+    drawn = drawn.withColumn("text", F.when(short, cut).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        drawn = drawn.withColumn("n_chars", F.when(short, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return drawn.select(*docs.columns)
