@@ -58,6 +58,13 @@ def test_one_per_group(make, odd_rows):
     assert sum(not (r.text or "").split() for r in kept.collect()) == sum(not (x[1] or "").split() for x in odd_rows)
 
 
+def test_one_per_group_without_ids(make):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text, "en", "s"), (None, text + " end", "en", "s"), (None, "an " + text, "en", "s"), (None, "something else " * 3, "en", "s")]
+    left = [r.text for r in one_per_group(make(rows), 4, 80, 100).collect()]
+    assert len(left) == 2 and "something else " * 3 in left
+
+
 def test_empty(make):
     assert found(make([])) == [] and one_per_group(make([])).count() == 0
 

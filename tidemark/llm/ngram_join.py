@@ -463,6 +463,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, p: int = 80, q: int = 10
     (null when the group has no other).  Repeated rows give repeated result rows; an empty table
     gives no rows.
     """
+    return _components(docs, words, p, q).drop("component")
+
+
+def _components(docs: DataFrame, words: int, p: int, q: int) -> DataFrame:
+    """The rows of ``jaccard_components`` with ``component``, the smallest node reachable, which is never null."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
     base = materialize(docs.mapInArrow(_noded(words), "doc_id long, text_key long, n_shingles long, node long, sketch binary"), "ngram-base")
     slim = materialize(base.select("doc_id", "text_key", "n_shingles", "node"), "ngram-nodes")
@@ -495,18 +500,18 @@ def jaccard_components(docs: DataFrame, words: int = 5, p: int = 80, q: int = 10
 
     named = slim.join(_small(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "component", "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return named.join(least, "component", "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "component")
 
 
 def one_per_group(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, that of the smallest doc_id; columns stay.
 
     Rows without words are in no group and all stay; of equal doc_ids the smaller text hash stays, of
-    equal rows one; a group in which no row has a doc_id is told apart by its texts' own sets only.
+    equal rows one; a group in which no row has a doc_id goes by its smallest set.
     """
-    found = jaccard_components(docs, words, p, q)
+    found = _components(docs, words, p, q)
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("text "), F.col("text_key").cast("string")))
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("set "), F.col("component").cast("string")))
     kept = found.where("n_shingles > 0").groupBy(group.alias("group")).agg(F.min(rank).alias("first")).select("first.doc_id", "first.text_key")
     rest = found.where("n_shingles = 0").select("doc_id", "text_key")
     return attach(docs, kept.unionAll(rest).withColumn("__kept", F.lit(True)), "__kept").drop("__kept")
