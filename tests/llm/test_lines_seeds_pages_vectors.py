@@ -1,58 +1,90 @@
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
+from itertools import accumulate
 
 import numpy as np
 import pytest
 from brute import words
 
 from tidemark.llm import spaced_seeds
-from tidemark.llm.cover_tree import top_k
-from tidemark.llm.line_dedup import repeated_units, without_repeats
+from tidemark.llm.cover_tree import Search, Top, routes, top_k, tree
+from tidemark.llm.line_dedup import PIECES, repeated_units, without_repeats
 from tidemark.llm.spaced_seeds import contaminated, decontaminate
 from tidemark.llm.warc import archive_round_trip, loser_tree, parse_records, url_key, write_archives
 
 # ---- lines
 
 
-def brute_lines(rows, least):
-    found = defaultdict(list)
-    for nth, (doc_id, text) in enumerate(rows):
-        start = 0
-        for unit, line in enumerate((text or "").split("\n")):
-            w = words(line)
-            if len(w) >= least:
-                found[b" ".join(w)].append(((doc_id is None, doc_id or 0, unit, nth), doc_id, unit, start, start + len(line)))
-            start += len(line) + 1
-    out = []
-    for own in found.values():
-        own.sort()
-        out += [(d, u, a, b, own[0][1], own[0][2], len(own)) for _, d, u, a, b in own[1:]]
-    return Counter(out)
+def brute_units(rows, least, by):
+    """Each row's (unit, start, stop, normal form), then all listed units with their group's first and size, plainly."""
+    every = []
+    for _, text in rows:
+        own, start = [], 0
+        for piece in re.findall(PIECES[by], text or ""):
+            if w := words(piece):
+                lead, tail = len(piece) - len(piece.lstrip(" \t\n\x0b\x0c\r")), len(piece) - len(piece.rstrip(" \t\n\x0b\x0c\r"))
+                own.append((start + lead, start + len(piece) - tail, b" ".join(w), len(w)))
+            start += len(piece)
+        every.append(own)
+    holders = defaultdict(set)
+    for nth, own in enumerate(every):
+        for _, _, norm, _ in own:
+            holders[norm].add(nth)
+    groups = defaultdict(list)
+    for nth, own in enumerate(every):
+        unit = 0
+        while unit < len(own):
+            end = unit
+            while end < len(own) and len(holders[own[end][2]]) > 1:
+                end += 1
+            if sum(max(n, len(norm.decode()) // 10) for _, _, norm, n in own[unit:end]) >= least:
+                for u in range(unit, end):
+                    doc_id = rows[nth][0]
+                    groups[own[u][2]].append(((doc_id is None, doc_id or 0, u, nth), doc_id, u, own[u][0], own[u][1], nth))
+            unit = max(end, unit + 1)
+    out, cuts = [], defaultdict(list)
+    for own in groups.values():
+        if len({x[5] for x in own}) > 1:
+            own.sort()
+            out += [(d, u, a, b, n == 0, own[0][1], own[0][2], len(own)) for n, (_, d, u, a, b, _) in enumerate(own)]
+            for x in own[1:]:
+                cuts[x[5]].append(x[3:5])
+    texts = []
+    for nth, (_, text) in enumerate(rows):
+        for a, b in sorted(cuts[nth], reverse=True):
+            text = text[:a] + text[b:]
+        texts.append(text)
+    return Counter(out), Counter((d, t) for (d, _), t in zip(rows, texts, strict=True))
 
 
 def lined(odd_rows):
     r = random.Random(6)
-    lines = [" ".join(r.choice(["Aé", "b", "ça", "D", "ee"]) for _ in range(r.randint(1, 7))) for _ in range(40)]
-    rows = [(i, "\n".join(r.choice(lines) + r.choice(["", " ", "\t"]) for _ in range(r.randint(0, 6))), "en", "s") for i in range(30)]
-    return rows + [rows[4], (3, "x\n" + lines[0], None, None), (None, rows[5][1], None, None), *odd_rows]
+    lines = [" ".join(r.choice(["Aé", "b", "ça", "D.", "ee"]) for _ in range(r.randint(1, 7))) for _ in range(40)]
+    rows = [(i, "\n".join(r.choice(lines) + r.choice(["", " ", "\t", "\n"]) for _ in range(r.randint(0, 6))), "en", "s") for i in range(30)]
+    return rows + [rows[4], (3, "x\n" + lines[0], None, None), (None, rows[5][1], None, None), (90, "猫" * 45 + "。new", None, None), (91, "old one。" + "猫" * 45 + "。", None, None), *odd_rows]
 
 
-def test_repeated_lines(make, odd_rows):
+@pytest.mark.parametrize(("by", "least"), [("segment", 1), ("segment", 4), ("line", 5), ("paragraph", 3)])
+def test_repeated_units(make, odd_rows, by, least):
     rows = lined(odd_rows)
-    got = repeated_units(make(rows), min_words=3).collect()
-    assert Counter((r.doc_id, r.unit, r.start, r.stop, r.kept_doc_id, r.kept_unit, r.copies) for r in got) == brute_lines([x[:2] for x in rows], 3)
+    docs = make(rows)
+    want, texts = brute_units([x[:2] for x in rows], least, by)
+    got = repeated_units(docs, by, least).collect()
+    assert Counter((r.doc_id, r.unit, r.start, r.stop, r.kept, r.kept_doc_id, r.kept_unit, r.copies) for r in got) == want
+    assert want
+    out = without_repeats(docs, by, least)
+    assert out.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == texts
 
 
-def test_cut_out(make, odd_rows):
-    rows = lined(odd_rows)
-    docs = make(rows)
-    out = without_repeats(docs, min_words=3)
-    assert out.columns == docs.columns and out.count() == len(rows)
-    gone = sum(brute_lines([x[:2] for x in rows], 3).values())
-    kept = lambda texts: sum(len(words(line)) >= 3 for t in texts for line in (t or "").split("\n"))
-    assert kept(x[1] for x in rows) - kept(r.text for r in out.collect()) == gone
-    assert repeated_units(out, min_words=3).count() == 0
+def test_clashing_names_stay(spark):
+    text = "one two three. four five six."
+    docs = spark.createDataFrame([(1, text, 5, "a"), (2, text, 6, None)], "doc_id long, text string, gone int, row string").withColumnsRenamed({"gone": "given"})
+    out = without_repeats(docs, least=3)
+    assert sorted((r.doc_id, r.text.strip(), r.given, r.row) for r in out.collect() if r.row) == [(1, text, 5, "a")]
+    assert out.columns == docs.columns
 
 
 def test_no_lines(make):
@@ -77,10 +109,13 @@ def test_planted_items_are_found(spark, make, odd_rows, monkeypatch):
                 body[spot] = "zz"
             at = r.randrange(80)
             text[at:at] = [w.upper() for w in body]
-            want.add((1000 + n, i))
+            if len(items[i]) >= spaced_seeds.SHORTEST_ITEM:
+                want.add((1000 + n, i))
             if i == 0:
                 want.add((1000 + n, None))
         rows.append((1000 + n, " \n".join(text), "en", "s"))
+    rows.append((2000, "A1  b2\nc3", "en", "s"))  # a very short item counts where it is the whole text
+    want.add((2000, 12))
     docs = make(rows + odd_rows + [rows[1]])
     for bound in (spaced_seeds.BROADCAST_ROWS, 0):
         monkeypatch.setattr(spaced_seeds, "BROADCAST_ROWS", bound)
@@ -91,6 +126,87 @@ def test_planted_items_are_found(spark, make, odd_rows, monkeypatch):
     assert Counter(x.doc_id for x in clean.collect()) == Counter(x[0] for x in rows + odd_rows if x[0] not in {d for d, _ in want})
 
 
+def brute_overlaps(text, item):
+    """matched, longest, first_word and whether it counts, over every alignment in which a mask fits; None without one."""
+    t, q = words(text or ""), words(item or "")
+    masks = [*spaced_seeds.MASKS, *(["1" * len(q)] if len(q) < min(map(len, spaced_seeds.MASKS)) else [])]
+    found = []
+    for first in range(-len(q) + 1, len(t)):
+        marks = [0 <= first + i < len(t) and t[first + i] == q[i] for i in range(len(q))]
+        if sum(marks) < min(6, len(q)):
+            continue
+        inside = [0 <= first + i < len(t) for i in range(len(q))]
+        fits = any(all(inside[o + k] for k in range(len(m))) and all(marks[o + k] for k, c in enumerate(m) if c == "1") for m in masks for o in range(len(q) - len(m) + 1))
+        if not fits or (len(q) < spaced_seeds.SHORTEST_ITEM and len(t) != len(q)):
+            continue
+        sums = [0, *accumulate(1 if x else -spaced_seeds.GAP for x in marks)]
+        scores = [(sums[b + 1] - sums[a], -b, -a) for a in range(len(q)) for b in range(a, len(q)) if marks[a]]
+        if scores:
+            top = max(s[0] for s in scores)
+            hi = min(-b for s, b, _ in scores if s == top)
+            lo = max(-a for s, b, a in scores if s == top and -b == hi)
+            found.append((first, frozenset(i for i in range(lo, hi + 1) if marks[i])))
+    found = [(f, p) for f, p in found if len(p) >= min(6, len(q))]
+    groups = []
+    for first, places in found:
+        if groups and first - groups[-1][-1][0] <= spaced_seeds.SHIFT:
+            groups[-1].append((first, places))
+        else:
+            groups.append([(first, places)])
+    tops = []
+    for g in groups:
+        for n in range(1, len(g) + 1):
+            tops.append((len(frozenset().union(*(p for _, p in g[:n]))), max(len(p) for _, p in g[:n]), -g[0][0]))
+    if not tops:
+        return None
+    matched, longest, back = max(tops)
+    if max(len(p) for _, p in found) >= spaced_seeds.STRETCH or (2 * matched >= len(q) and matched >= min(spaced_seeds.LEAST_WORDS, len(q))):
+        return matched, longest, len(q), -back
+    return None
+
+
+def test_overlaps_are_those_of_brute_force(spark, make, odd_rows):
+    r = random.Random(10)
+    say = lambda n: [r.choice("the of and to in a is it on by we as".split() + [f"w{i}" for i in range(40)]) for _ in range(n)]
+    items = {i: say(n) for i, n in enumerate([70, 45, 45, 30, 20, 15, 12, 8, 6, 5, 4, 1])}
+    items[11] = ["the"]
+    rows = []
+    for n in range(70):
+        body = list(items[r.choice(list(items))])
+        kind = n % 7
+        if kind == 1 and len(body) > 20:  # a part
+            size = r.choice([12, 13, 20, min(60, len(body))])
+            at = r.randrange(len(body) - size + 1)
+            body = body[at : at + size]
+        elif kind == 2:  # inserted words
+            for at in (2 * len(body) // 3, len(body) // 3):
+                body[at:at] = ["zz"] * r.randint(1, 9)
+        elif kind == 3:  # a fifth substituted
+            body = [w if r.random() > 0.2 else "zz" for w in body]
+        elif kind == 4:  # lost words
+            del body[len(body) // 2 : len(body) // 2 + 2]
+        elif kind == 5:
+            body = []
+        front, back = say(r.randint(0, 60)), say(r.randint(0, 60))
+        rows.append((n, " ".join(front + body + back + (body[: len(body) // 2] if n % 11 == 0 else [])), "en", "s"))
+    rows += [(800, "THE", None, None), *odd_rows]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.matched, x.longest, x.item_words, x.first_word) for x in contaminated(make(rows), bench).collect()}
+    want = {(d, i): f for d, t, *_ in rows for i, q in items.items() if (f := brute_overlaps(t, " ".join(q)))}
+    assert got == want
+    assert (800, 11) in got and sum(d < 70 for d, _ in got) > 25
+
+
+def test_part_shifted_and_thinned_copies_are_found(spark, make):
+    r = random.Random(12)
+    say = lambda n: [f"q{r.randrange(2000)}" for _ in range(n)]
+    long, full = say(200), say(45)
+    rows = [(1, long[70:130]), (2, long[:90]), (3, full[:15] + ["x"] + full[15:30] + ["y"] + full[30:]), (4, full[:20] + full[22:]), (5, long[50:60]), (6, say(100))]
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(full))], "item_id long, text string")
+    got = contaminated(make([(i, " ".join([*say(30), *w, *say(30)]), "en", "s") for i, w in rows]), bench)
+    assert sorted((x.doc_id, x.item_id) for x in got.collect()) == [(1, 1), (2, 1), (3, 2), (4, 2)]
+
+
 def test_two_substitutions_in_fifteen_words_never_hide_a_seed():
     for bad in ((i, j) for i in range(15) for j in range(i, 15)):
         assert any(all(not (0 <= p - o < len(m) and m[p - o] == "1") for p in bad) for m in spaced_seeds.MASKS for o in range(16 - len(m)))
@@ -170,3 +286,49 @@ def test_top_k_is_exact(spark, block):
     got = sorted(tuple(r) for r in top_k(df, 5, 50, 256, block).collect())
     assert got == brute_top(rows, 5)
     assert top_k(df.limit(0)).count() == 0
+
+
+def test_scores_beyond_doubles_are_exact(spark):
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(60, 3)) * 2.0**21).astype(np.float32)
+    x[1] = x[2] = [2.0**22, 1.0, 0.0]
+    x[3] = [2.0**22, 1.0, 1 / 256]
+    x[50] = [2.0**22, 3.0, 1.0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert max(abs(s) for *_, s in brute_top(rows, 5)) > 2**53
+    for block in (8, 1000):
+        assert sorted(tuple(r) for r in top_k(df, 5, 50, 256, block).collect()) == brute_top(rows, 5)
+    huge = spark.createDataFrame([(50, [1e30]), (1, [1e30]), (2, [-1e30]), (3, [1e308])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in top_k(huge).orderBy("rank").collect()] == [(1, 2**63 - 1), (2, -(2**63))]
+
+
+def test_trees_prune_clustered_vectors():
+    """Most pairs of clustered vectors are never scored; those of evenly spread ones nearly all are."""
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(60, 32))
+    for spread, most in ((0.05, 0.12), (None, 1.0)):
+        x = centers[rng.integers(0, 60, 3000)] + spread * rng.normal(size=(3000, 32)) if spread else rng.normal(size=(3000, 32))
+        x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True))
+        ids, q = np.arange(3000), np.arange(0, 3000, 50)
+        s = Search(x, ids, x[q], q, 5)
+        s.run(tree(x))
+        got = x[q] @ x.T
+        got[np.arange(len(q)), q] = -np.inf
+        assert (np.sort(got, axis=1)[:, :-6:-1] == s.score).all()
+        assert s.scored <= most * 3000 * len(q), s.scored / 3000 / len(q)
+
+
+def test_queries_skip_balls_out_of_reach():
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(20, 16)) * 100
+    x = np.floor(centers[rng.integers(0, 20, 1000)] + rng.normal(size=(1000, 16)))
+    top = Top({16: np.floor(centers)}, {16: 0})
+    ball, far = top.nearest(x)
+    for b in np.unique(ball):
+        top.radius[int(b)], top.parts[int(b)] = float(far[ball == b].max()), (int(b), 1)
+    floor = np.sort(x[:40] @ x.T, axis=1)[:, -6]
+    met = [set(a) | set(b) for a, b in zip(routes(top, x[:40], floor, True), routes(top, x[:40], floor, False), strict=True)]
+    assert sum(map(len, met)) < 40 * 20 / 3
+    for i, balls in enumerate(met):
+        assert set(ball[np.flatnonzero(x[i] @ x.T >= floor[i])]) <= balls

@@ -1,8 +1,8 @@
 """Sharding along a Hilbert curve, with SQL expressions only.
 
-Metadata dimensions (language, source, size) are quantised to 32 steps each; the cell's index on the
-three-dimensional Hilbert curve is computed in the plan, documents are ordered by it and the order is
-cut into runs.  Cells that are near on the curve are near in every dimension, so a shard's file covers
+Metadata dimensions (language, source, size) are quantised to 32 steps each: names by their rank in
+code-point order, sizes by their logarithm.  The cell's index on the three-dimensional Hilbert curve is
+computed in the plan, documents are ordered by it and the order is cut into runs.  Cells that are near on the curve are near in every dimension, so a shard's file covers
 narrow ranges of each dimension and a filter on any of them prunes files.
 """
 
@@ -13,9 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rows import attach, running_totals, text_key
+from .rows import attach, running_totals, sums_before, text_key
+from .store import materialize
 
 BITS = 5
+#: Names (of languages or sources) whose steps are sent to every executor; more are joined by a shuffle.
+BROADCAST_NAMES = 1_000_000
 
 
 def hilbert_index(axes: Sequence[str], bits: int) -> Column:
@@ -37,20 +40,27 @@ def hilbert_index(axes: Sequence[str], bits: int) -> Column:
     return F.expr(f"transform(array({gray}), x -> aggregate(array({places}), 0L, (h, s) -> shiftleft(h, 1) | (shiftright(x[s.i] ^ {flips}, s.b) & 1)))[0]")
 
 
+def _with_step(docs: DataFrame, column: str, to: str) -> DataFrame:
+    """``docs`` with the step of a name: its rank among the names there are, scaled to the steps; null is step 0.
+
+    Up to 32 names have a step each; beyond, neighbours in code-point order share one, so that a step is
+    always a range of names.
+    """
+    names = materialize(docs.where(F.col(column).isNotNull()).select(F.col(column).alias("name")).distinct(), "curve-names")
+    n = names.count()
+    ranked = sums_before(names, [F.col("name")]).select(F.col("name").alias("__name"), F.expr(f"cast(position * {1 << BITS} div {max(n, 1)} as int)").alias(to))
+    out = docs.join(F.broadcast(ranked) if n <= BROADCAST_NAMES else ranked, F.col(column) == F.col("__name"), "left").drop("__name")
+    return out.withColumn(to, F.coalesce(to, F.lit(0)))
+
+
 def _quantised(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, size, text_crc32 and the three axes of each row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    name = lambda c: (F.crc32(F.col(c).cast("string").cast("binary")) % (1 << BITS) if c in docs.columns else F.lit(None))
+    name = lambda c: (F.col(c) if c in docs.columns else F.lit(None)).cast("string").alias(c)
     size = F.octet_length(text).cast("long") + 1
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        text_key().alias("text_key"),
-        size.alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.coalesce(name("lang"), F.lit(0)).alias("axis_lang"),
-        F.coalesce(name("source"), F.lit(0)).alias("axis_source"),
-        F.least(F.floor(F.log2(size.cast("double")) * 1.5), F.lit((1 << BITS) - 1)).alias("axis_size"),
-    )
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), name("lang"), name("source"))
+    slim = _with_step(_with_step(slim, "lang", "axis_lang"), "source", "axis_source")
+    return slim.withColumn("axis_size", F.least(F.floor(F.log2(F.col("size").cast("double")) * 1.5), F.lit((1 << BITS) - 1)))
 
 
 def hilbert_shards(docs: DataFrame, shards: int = 16, law: str = "rows") -> DataFrame:
@@ -87,3 +97,16 @@ def hilbert_shards(docs: DataFrame, shards: int = 16, law: str = "rows") -> Data
 def shard_documents(docs: DataFrame, shards: int = 16, law: str = "bytes") -> DataFrame:
     """``docs`` with ``shard``, ``slot`` and ``curve`` (columns of these names are replaced)."""
     return attach(docs, hilbert_shards(docs, shards, law), "shard", "slot", "curve")
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 16, law: str = "bytes") -> None:
+    """``shard_documents`` as Parquet, a folder a shard, rows along the curve; a shard of several tasks is several files."""
+    placed = shard_documents(docs, shards, law)
+    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def files_meeting(written: DataFrame, column: str, low, high) -> DataFrame:
+    """files and met: how many files a Parquet table has, and in how many of them [low, high] meets the column's range."""
+    ranges = written.groupBy("_metadata.file_path").agg(F.min(column).alias("a"), F.max(column).alias("b"))
+    met = (F.col("a") <= F.lit(high)) & (F.col("b") >= F.lit(low))
+    return ranges.agg(F.count("*").alias("files"), F.coalesce(F.sum(met.cast("long")), F.lit(0)).alias("met"))

@@ -1,24 +1,37 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
-Each source's documents stand in a seeded random order and form a stream of words.  A source's quota
-is a length of that stream, which starts over when it ends; the stream is cut into blocks, and the
-blocks are dealt to output shards by a multivariate-hypergeometric splitting tree: every node draws
-half of its blocks without replacement, so the sources' counts of the two halves follow that law and
-every source's quota is kept exactly.  Within a shard blocks are shuffled by their draw.
+Each source's documents stand in a seeded random order and are cut into blocks of whole documents of
+near equal words.  A source's quota is its target in words: full passes over the source take every
+block, and what is left takes blocks in a permuted order until the quota is met, the last one as far
+as needed.  So the permutation decides which documents of a source a partial pass holds.
+
+A multivariate-hypergeometric splitting tree deals the drawn blocks to output shards: its root holds
+every source's number of blocks, every node draws half of its blocks without replacement, and the
+counts of its sources in the two halves follow that law, down to a count per source and shard.  Those
+counts cut each source's permuted blocks into disjoint runs, one per shard, and within a shard
+documents are shuffled by a draw of their own.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rows import attach, running_totals, text_key
-from .store import materialize
+from .rows import matched, placed_within, running_totals, sums_before, text_key
+from .store import discard, materialize
 
 WORD = "[^\\\\x20\\\\x09-\\\\x0D]+"
 SEED = "tidemark"
+#: Rows of the table of drawn blocks that are sent to every executor; a larger one is joined by a shuffle.
+BROADCAST_BLOCKS = 1_000_000
+
+
+def _lot(seed: str, *parts: str | Column) -> Column:
+    """A seeded draw; null has a place of its own."""
+    cols = (F.col(p) if isinstance(p, str) else p for p in parts)
+    return F.md5(F.concat_ws("|", F.lit(seed), *(F.coalesce(c.cast("string"), F.lit("\u0000")) for c in cols)))
 
 
 def _numbered(docs: DataFrame, seed: str) -> DataFrame:
@@ -29,120 +42,139 @@ def _numbered(docs: DataFrame, seed: str) -> DataFrame:
         text_key().alias("text_key"),
         source.alias("source"),
         F.expr(f"cast(coalesce(regexp_count(text, '{WORD}'), 0) as bigint)").alias("size"),
-    ).withColumn("draw", F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    ).withColumn("draw", _lot(seed, "doc_id"))
     order = [F.col("source").asc_nulls_last(), F.col("draw"), F.col("doc_id").asc_nulls_last(), F.col("text_key")]
     return running_totals(slim, order, ["size"])
 
 
 def source_quotas(numbered: DataFrame, cap: int = 3) -> DataFrame:
-    """source, source_size, source_start, target, quota: a table of one row per source.
+    """source, source_size, source_start, target, quota: a stored table of one row per source.
 
     Sources by code point, null last, weigh 1, 2, 3 and so on again, and share the sum of all sizes;
     a target stops at ``cap`` times its source's size and the rest is shared anew by weight.  The
     common level that this comes to is the largest of those that each prefix of capped sources gives.
     """
-    sums = numbered.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    sums = sums.withColumn("weight", (F.row_number().over(by_name) - 1) % 3 + 1)
-    ahead = by_name.rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("source_start", F.coalesce(F.sum("source_size").over(ahead), F.lit(0)).cast("long"))
-    by_room = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("source_size").over(by_room.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * cap) / F.sum(
-        "weight"
-    ).over(by_room.rowsBetween(0, Window.unboundedFollowing))
-    sums = sums.withColumn("level", level).withColumn("level", F.max("level").over(everything))
-    target = F.least(F.col("source_size") * F.lit(float(cap)), F.col("weight") * F.col("level")).cast("double")
-    return sums.select("source", "source_size", "source_start", target.alias("target"), F.round(target).cast("long").alias("quota"))
-
-
-def splitting_tree(quotas: DataFrame, block_words: int, shards: int, seed: str = SEED) -> DataFrame:
-    """source, block, shard: the blocks of all quotas, dealt in log2(shards) levels of halving draws.
-
-    ``block_words`` bounds this table: the sum of quotas / block_words, plus one block per source.
+    sums = materialize(numbered.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), "mix-sums")
+    named = sums_before(sums, [F.col("source").asc_nulls_last()], ["source_size"])
+    named = named.select("source", "source_size", (F.col("position") % 3 + 1).cast("long").alias("weight"), F.col("source_size_before").alias("source_start"))
+    named = materialize(named, "mix-weights")
+    total, weights = named.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    roomy = sums_before(named, [F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last()], ["source_size", "weight"])
+    level = roomy.agg(F.max((F.lit(total).cast("long") - F.col("source_size_before") * cap) / (F.lit(weights).cast("long") - F.col("weight_before")))).first()[0]
+    target = F.least(F.col("source_size") * F.lit(float(cap)), F.col("weight") * F.lit(level).cast("double")).cast("double")
+    quotas = materialize(named.select("source", "source_size", "source_start", target.alias("target"), F.round(target).cast("long").alias("quota")), "mix-quotas")
+    discard(sums, named)
+    return quotas
+
+
+def splitting_tree(counts: DataFrame, shards: int, seed: str = SEED) -> DataFrame:
+    """source, shard, blocks: how many of each source's blocks go to each shard.
+
+    counts: source and blocks (long).  Every node of log2(shards) levels halves its blocks: lots are
+    drawn for all of them, and the smaller half of the lots goes left.
     """
     level = int(math.log2(shards))
     if 1 << level != shards:
         raise ValueError("shards must be a power of two")
-    nodes = quotas.where("quota > 0").select("source", F.expr(f"explode(sequence(0L, (quota - 1) div {block_words}L))").alias("block")).withColumn("shard", F.lit(0))
+    nodes = counts.where("blocks > 0").select("source", F.expr("explode(sequence(1L, blocks))").alias("ball"), F.lit(0).alias("shard"))
+    nodes = materialize(nodes, "mix-balls")
     for depth in range(level):
-        lot = F.md5(F.concat_ws("|", F.lit(seed), F.lit(depth), F.col("shard"), F.coalesce(F.col("source"), F.lit("\u0000")), F.col("block")))
-        node = Window.partitionBy("shard")
-        nodes = nodes.withColumns({"nth": F.row_number().over(node.orderBy(lot, "source", "block")), "of": F.count("*").over(node)})
-        nodes = nodes.select("source", "block", F.expr("cast(shard * 2 + if(nth * 2 <= of, 0, 1) as int)").alias("shard"))
-    return nodes
+        lots = [_lot(seed, F.lit(depth), "shard", "source", "ball"), F.col("source").asc_nulls_last(), F.col("ball")]
+        halves = placed_within(nodes, ["shard"], lots).select("source", "ball", F.expr("cast(shard * 2 + if((nth + 1) * 2 <= of, 0, 1) as int)").alias("shard"))
+        halves = materialize(halves, "mix-balls")
+        discard(nodes)
+        nodes = halves
+    return nodes.groupBy("source", "shard").agg(F.count("*").alias("blocks"))
+
+
+def drawn_blocks(numbered: DataFrame, quotas: DataFrame, shards: int, blocks_per_shard: int, seed: str = SEED) -> tuple[DataFrame, int]:
+    """(source, block, block_start, copies) of the blocks that the mix takes, and the words of a block.
+
+    block_start is the block's first word in its source's stream; copies has a struct of pass, shard
+    and words (how many of the block's first words are taken) for each time that it is drawn.  Its rows
+    are at most shards * blocks_per_shard more than there are sources.
+    """
+    words = quotas.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
+    block_words = max(1, math.ceil(words / (shards * blocks_per_shard)))
+    blocks = _with_quota(numbered, quotas).where("size > 0").groupBy("source", "source_size", "quota", F.expr(f"at div {block_words}L").alias("block"))
+    blocks = materialize(blocks.agg(F.sum("size").alias("words"), F.min("at").alias("block_start")), "mix-blocks")
+    by = Window.partitionBy("source").orderBy("lot", "block")  # a source has at most shards * blocks_per_shard blocks and one
+    ahead = by.rowsBetween(Window.unboundedPreceding, -1)
+    drawn = blocks.withColumn("lot", _lot(seed, "source", "block")).withColumn("before", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
+    drawn = drawn.withColumn("pass", F.expr("explode(sequence(0L, (quota - 1) div source_size))")) if words else drawn.withColumn("pass", F.lit(0).cast("long"))
+    drawn = drawn.withColumn("take", F.expr("least(words, greatest(0L, quota - pass * source_size - before))")).where("take > 0")
+    drawn = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy("pass", "lot", "block")))
+    drawn = materialize(drawn.select("source", "block", "block_start", "pass", "take", "nth"), "mix-drawn")
+    counts = splitting_tree(drawn.groupBy("source").agg(F.count("*").alias("blocks")), shards, seed)
+    to = F.sum("blocks").over(Window.partitionBy("source").orderBy("shard"))
+    runs = counts.withColumn("to", to).select(F.col("source").alias("s"), "shard", (F.col("to") - F.col("blocks")).alias("from"), "to")
+    dealt = drawn.join(runs, F.col("source").eqNullSafe(F.col("s")) & (F.col("nth") > F.col("from")) & (F.col("nth") <= F.col("to")))
+    copies = F.sort_array(F.collect_list(F.struct(F.col("pass"), F.col("shard"), F.col("take").alias("words"))))
+    dealt = materialize(dealt.groupBy("source", "block", "block_start").agg(copies.alias("copies")), "mix-dealt")
+    discard(blocks, drawn)
+    return dealt, block_words
 
 
 def _with_quota(numbered: DataFrame, quotas: DataFrame) -> DataFrame:
     """Rows with their source's quota and ``at``, their first word in the source's stream."""
     q = quotas.withColumnRenamed("source", "__source")
+    q = F.broadcast(q) if q.count() <= BROADCAST_BLOCKS else q
     return numbered.join(q, F.col("source").eqNullSafe(F.col("__source"))).drop("__source").withColumn("at", F.col("size_before") - F.col("source_start"))
 
 
-def mix_blocks(docs: DataFrame, shards: int = 16, blocks_per_shard: int = 256, cap: int = 3, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
-    """(rows, pieces) of the mix.
+def mix(docs: DataFrame, shards: int = 16, blocks_per_shard: int = 256, cap: int = 3, seed: str = SEED) -> DataFrame:
+    """A row per row of docs: rid, doc_id, text_key, source, size, source_size, target, quota, taken, copies.
 
-    rows: rid, doc_id, text_key, source, size, source_size, target, quota, at, a row per row of docs.
-    pieces: rid, source, epoch, block, shard, first_word, last_word (exclusive, within the document)
-    and draw, the order within the shard; a document is cut where a block ends, and no word is drawn
-    more than ``cap`` times.  The quota of each source is met to the word (rounded).
+    copies has a struct of pass, shard and words for each time that the row is drawn: its first
+    ``words`` words, all of them but for the document at which its source's quota ends.  taken is their
+    sum, at most ``cap`` times the size; a source's sum is its target, rounded.  A row without words is
+    drawn once, with its block in the first pass, or where its source has no words to shard 0.
 
     docs: doc_id, text and, where there, source; null source is a source of its own, the last; null
-    or wordless text has size 0 and no pieces; repeated rows are rows of their own; equal seeds and
-    rows give equal mixes; an empty table gives empty results.
+    text has size 0; long texts are taken whole; repeated rows are rows of their own; equal seeds and
+    rows give equal mixes; an empty table gives no rows.
     """
     numbered = _numbered(docs, seed)
-    quotas = materialize(source_quotas(numbered, cap), "mix-quotas")
-    words = quotas.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
-    block_words = max(1, math.ceil(words / (shards * blocks_per_shard)))
-    tree = materialize(splitting_tree(quotas, block_words, shards, seed), "mix-blocks")
-    rows = _with_quota(numbered, quotas)
-    spans = rows.where("size > 0 and at < quota").withColumn("epoch", F.expr("explode(sequence(0L, (quota - at - 1) div source_size))"))
-    spans = spans.withColumns({"lo": F.expr("epoch * source_size + at"), "hi": F.expr("least(epoch * source_size + at + size, quota)")})
-    cut = spans.withColumn("block", F.expr(f"explode(sequence(lo div {block_words}L, (hi - 1) div {block_words}L))"))
-    cut = cut.select(
-        "rid", "source", "epoch", "block",
-        F.expr(f"greatest(lo, block * {block_words}L) - lo").alias("first_word"),
-        F.expr(f"least(hi, (block + 1) * {block_words}L) - lo").alias("last_word"),
-    )
-    t = tree.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "shard")
-    pieces = cut.join(t, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b"))).drop("__s", "__b")
-    lot = F.md5(F.concat_ws("|", F.lit(seed), F.col("shard"), F.coalesce(F.col("source"), F.lit("\u0000")), F.col("block")))
-    return rows, pieces.withColumn("draw", lot)
-
-
-def mix_documents(docs: DataFrame, cap: int = 3, seed: str = SEED) -> DataFrame:
-    """``docs`` as the mix takes them, whole: a row for each time that a document's middle word is drawn.
-
-    Columns stay.  A document without words is kept once when its place lies in the first pass's quota.
-    """
-    numbered = _numbered(docs, seed)
-    rows = _with_quota(numbered, source_quotas(numbered, cap))
-    times = F.expr("case when source_size = 0 then 1 else greatest(0, ceil((quota - at - size / 2) / source_size)) end").cast("int")
-    times = F.when(F.col("size") == 0, F.least(times, F.lit(1))).otherwise(F.least(times, F.lit(cap)))
-    decided = rows.select("doc_id", "text_key", times.alias("__times")).where("__times > 0")
-    return attach(docs, decided, "__times").withColumn("__times", F.expr("explode(sequence(1, __times))")).drop("__times")
-
-
-def deal_documents(docs: DataFrame, cap: int = 3, seed: str = SEED) -> DataFrame:
-    """``docs`` as ``mix_blocks`` deals them: a row for each pass in which words of a document are drawn.
-
-    A pass's pieces make up the beginning of the document, nearly always all of it: only the document at
-    which a source's quota ends is cut there, behind its last drawn word, so each quota is met to the
-    word.  Columns stay; ``n_chars`` follows a cut text.  A document without words is kept once when its
-    place lies in the first pass's quota.
+    quotas = source_quotas(numbered, cap)
+    dealt, block_words = drawn_blocks(numbered, quotas, shards, blocks_per_shard, seed)
+    d = dealt.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "block_start", F.col("copies").alias("drawn"))
+    d = F.broadcast(d) if dealt.count() <= BROADCAST_BLOCKS else d
+    rows = _with_quota(numbered, quotas).withColumn("block", F.expr(f"at div {block_words}L"))
+    rows = rows.join(d, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")), "left")
+    own = "transform(drawn, c -> named_struct('pass', c.pass, 'shard', c.shard, 'words', greatest(0L, least(size, c.words - (at - block_start)))))"
+    blank = "if(source_size = 0, array(named_struct('pass', 0L, 'shard', 0, 'words', 0L)), filter(drawn, c -> c.pass = 0))"
+    none = "cast(array() as array<struct<pass: bigint, shard: int, words: bigint>>)"
+    copies = F.expr(f"coalesce(if(size = 0, transform({blank}, c -> named_struct('pass', c.pass, 'shard', c.shard, 'words', 0L)), filter({own}, c -> c.words > 0)), {none})")
+    rows = rows.withColumn("copies", copies).withColumn("taken", F.expr("aggregate(copies, 0L, (t, c) -> t + c.words)"))
+    return rows.select("rid", "doc_id", "text_key", "source", "size", "source_size", "target", "quota", "taken", "copies")
+
+
+def mixed(docs: DataFrame, shards: int = 16, blocks_per_shard: int = 256, cap: int = 3, seed: str = SEED) -> DataFrame:
+    """``docs`` as the mix deals them: a row for each time that a document is drawn, with ``mix_shard`` and ``mix_draw``.
+
+    Sorting a shard by ``mix_draw`` shuffles it.  Only the document at which a source's quota ends is cut,
+    behind its last drawn word; ``n_chars`` follows a cut text.  Columns stay (those of the two
+    names are replaced).
     """
-    rows, pieces = mix_blocks(docs, cap=cap, seed=seed)
-    takes = pieces.groupBy("rid", "epoch").agg(F.sum(F.col("last_word") - F.col("first_word")).alias("take"))
-    takes = takes.groupBy("rid").agg(F.sort_array(F.collect_list("take")).alias("__takes"))
-    blank = F.expr("if(size = 0 and (source_size = 0 or at < quota), array(0L), null)")
-    decided = rows.join(takes, "rid", "left").select("doc_id", "text_key", F.coalesce("__takes", blank).alias("__takes"), F.col("size").alias("__size"))
-    drawn = attach(docs, decided.where("__takes is not null"), "__takes", "__size").withColumn("__take", F.explode("__takes"))
+    rows = mix(docs, shards, blocks_per_shard, cap, seed)
+    both = matched(docs, rows.where("size(copies) > 0"), "copies", "size", "source").withColumn("copy", F.explode("given.copies"))
     space = WORD.replace("^", "").rstrip("+")
-    parts = f"split(text, '(?<={space})(?!{space})')"  # words with the blanks behind them; blanks in front are one more
-    cut = F.expr(f"regexp_replace(array_join(slice({parts}, 1, cast(__take + if(text rlike '^{space}', 1, 0) as int)), ''), '{space}+$', '')")
-    short = F.col("__take") < F.col("__size")
-    drawn = drawn.withColumn("text", F.when(short, cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        drawn = drawn.withColumn("n_chars", F.when(short, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return drawn.select(*docs.columns)
+    parts = f"split(row.text, '(?<={space})(?!{space})')"  # words with the blanks behind them; blanks in front are one more
+    cut = f"regexp_replace(array_join(slice({parts}, 1, cast(copy.words + if(row.text rlike '^{space}', 1, 0) as int)), ''), '{space}+$', '')"
+    short = "copy.words < given.size"
+    out = both.withColumn("text", F.expr(f"if({short}, {cut}, row.text)"))
+    columns = []
+    for f in docs.schema.fields:
+        if f.name == "text":
+            columns.append(F.col("text"))
+        elif f.name == "n_chars":
+            columns.append(F.when(F.expr(short), F.length("text")).otherwise(F.col("row.n_chars")).cast(f.dataType).alias("n_chars"))
+        elif f.name not in ("mix_shard", "mix_draw"):
+            columns.append(F.col(f"row.`{f.name}`"))
+    draw = _lot(seed, "copy.shard", "copy.pass", "row.doc_id")
+    return out.select(*columns, F.col("copy.shard").alias("mix_shard"), draw.alias("mix_draw"))
+
+
+def shuffled(mix: DataFrame) -> DataFrame:
+    """The rows of ``mixed``, each shard in the order of its draws; a shard may span several partitions, in order."""
+    return mix.repartitionByRange(F.col("mix_shard"), F.col("mix_draw")).sortWithinPartitions("mix_shard", "mix_draw")

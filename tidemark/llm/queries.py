@@ -11,8 +11,8 @@ from . import language_mixture
 from .context_tree import score_documents
 from .cover_tree import top_k
 from .hilbert import hilbert_shards
-from .line_dedup import MIN_WORDS, repeated_units
-from .mixing import mix_blocks
+from .line_dedup import LEAST_RUN, PIECES, WORD_CHARS, repeated_units
+from .mixing import mix
 from .ngram_join import jaccard_components
 from .semi_markov import find_personal_data
 from .spaced_seeds import contaminated
@@ -43,9 +43,9 @@ def op4_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The repeated lines of all documents that go, with their places."""
-    gone = repeated_units(read_table(spark, sf_dir, "documents"), by="line", min_words=MIN_WORDS)
-    return gone.select("doc_id", "unit", "start", "stop", "words", "digest", "kept_doc_id", "kept_unit", "copies")
+    """The units of repeated passages of all documents, those that go and those that stay, with their places."""
+    found = repeated_units(read_table(spark, sf_dir, "documents"), by="segment", least=LEAST_RUN)
+    return found.select("doc_id", "unit", "start", "stop", "words", "digest", "kept", "kept_doc_id", "kept_unit", "copies")
 
 
 def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,10 +56,10 @@ def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document, summed over its drawn pieces."""
-    rows, pieces = mix_blocks(read_table(spark, sf_dir, "documents"))
-    drawn = pieces.groupBy("rid").agg(F.sum(F.col("last_word") - F.col("first_word")).cast("long").alias("taken"))
-    return rows.join(drawn, "rid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    """Words that the mix takes of each document, and the shards to which the tree deals them."""
+    rows = mix(read_table(spark, sf_dir, "documents"))
+    shards = F.expr("array_join(transform(copies, c -> c.shard), ',')")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", shards.alias("shards"))
 
 
 def op8_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(coalesce({}, ''), '[^\\x20\\x09-\\x0D]+')"
 
+_BLANKS = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
+
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": f"""
         with recursive w as (select doc_id, {_WORDS.format(_LOWER.format("text"))} as ws from documents),
@@ -107,26 +109,45 @@ ORACLE_SQL: dict[str, str] = {
         select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(r) as component_id
         from documents d join reach on reach.doc_id = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id, n.n""",
     "op5_line_dedup": f"""
-        with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
-        u as (select doc_id, ls, unnest(range(0, len(ls))) as unit from l),
-        p as (select doc_id, unit, ls[unit + 1] as line,
-            list_sum(list_transform(ls[1:unit], lambda x: length(x) + 1)) as ahead from u),
-        k as (select doc_id, unit, coalesce(ahead, 0)::bigint as start, coalesce(ahead, 0)::bigint + length(line) as stop,
-            {_WORDS.format(_LOWER.format("line"))} as ws from p),
-        d as (select doc_id, unit::int as unit, start, stop, len(ws)::int as words, md5(array_to_string(ws, ' ')) as digest from k where len(ws) >= {MIN_WORDS}),
-        r as (select *, row_number() over o as nth, first_value(doc_id) over o as kept_doc_id, first_value(unit) over o as kept_unit,
-            count(*) over (partition by digest) as copies from d window o as (partition by digest order by doc_id nulls last, unit))
-        select doc_id, unit, start, stop, words, digest, kept_doc_id, kept_unit, copies from r where nth > 1""",
+        with d as (select row_number() over () as rid, doc_id, regexp_extract_all(coalesce(text, ''), '{PIECES["segment"]}') as ps from documents),
+        p as (select rid, doc_id, unnest(ps) as piece, generate_subscripts(ps, 1) as k from d),
+        w as (select *, coalesce(sum(length(piece)) over (partition by rid order by k rows between unbounded preceding and 1 preceding), 0)::bigint as ahead,
+            {_WORDS.format(_LOWER.format("piece"))} as ws from p),
+        u as (select rid, doc_id, (row_number() over (partition by rid order by k) - 1)::int as unit, ahead + length(piece) - length(ltrim(piece, {_BLANKS})) as start,
+            ahead + length(rtrim(piece, {_BLANKS})) as stop, len(ws)::int as words, greatest(len(ws), length(array_to_string(ws, ' ')) // {WORD_CHARS}) as weight,
+            md5(array_to_string(ws, ' ')) as digest from w where len(ws) > 0),
+        s as (select digest from u group by digest having count(distinct rid) > 1),
+        i as (select u.*, unit - row_number() over (partition by rid order by unit) as island from u semi join s using (digest)),
+        r as (select *, sum(weight) over (partition by rid, island) as run from i),
+        g as (select *, row_number() over o as nth, first_value(doc_id) over o as kept_doc_id, first_value(unit) over o as kept_unit, count(*) over (partition by digest) as copies,
+            min(rid) over (partition by digest) < max(rid) over (partition by digest) as shared from r where run >= {LEAST_RUN} window o as (partition by digest order by doc_id nulls last, unit, rid))
+        select doc_id, unit, start, stop, words, digest, nth = 1 as kept, kept_doc_id, kept_unit, copies from g where shared""",
     "op7_mixing": f"""
-        with b as (select doc_id, source, len({_WORDS.format("text")})::bigint as size, md5('tidemark|' || coalesce(doc_id::varchar, '')) as draw from documents),
+        with b as (select doc_id, source, len({_WORDS.format("text")})::bigint as size, md5('tidemark|' || doc_id) as draw from documents),
         s as (select source, sum(size)::bigint as source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight from b group by source),
         l as (select *, (sum(source_size) over () - 3 * coalesce(sum(source_size) over (order by source_size / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))::double
             / sum(weight) over (order by source_size / weight, source nulls last rows between current row and unbounded following) as level from s),
         t as (select source, source_size, least(source_size * 3.0::double, weight * max(level) over ()) as target from l),
-        q as (select b.*, t.source_size, t.target, round(t.target)::bigint as quota,
-            (sum(size) over (partition by b.source order by draw, doc_id nulls last rows unbounded preceding) - size)::bigint as place
-            from b join t on b.source is not distinct from t.source)
-        select doc_id, size, source_size, target, (list_sum(list_transform([0, 1, 2], lambda e: greatest(0, least(e * source_size + place + size, quota) - (e * source_size + place)))))::bigint as taken from q""",
+        n as (select b.*, t.source_size, t.target, round(t.target)::bigint as quota, coalesce(b.source, chr(0)) as name, greatest(1, ceil((select sum(round(target)) from t) / 4096))::bigint as wide,
+            (sum(size) over (partition by b.source order by draw, doc_id rows unbounded preceding) - size)::bigint as pos from b join t on b.source is not distinct from t.source),
+        k as (select name, source_size, quota, pos // wide as block, sum(size) as words, min(pos) as block_start, md5('tidemark|' || name || '|' || (pos // wide)) as lot
+            from n where size > 0 group by name, source_size, quota, block),
+        q as (select *, words as w, coalesce(sum(words) over (partition by name order by lot, block rows between unbounded preceding and 1 preceding), 0) as ahead,
+            unnest(range(0, (quota - 1) // source_size + 1)) as pass from k where quota > 0),
+        d as (select *, least(words, greatest(0, quota - pass * source_size - ahead)) as take from q where quota - pass * source_size - ahead > 0),
+        e as (select *, row_number() over (partition by name order by pass, lot, block) as nth from d),
+        n0 as (select name, nth as ball, 0 as shard from e),
+        {"".join(f"""
+        n{i + 1} as (select name, ball, shard * 2 + if(row_number() over (partition by shard order by md5('tidemark|{i}|' || shard || '|' || name || '|' || ball), name, ball) * 2
+            <= count(*) over (partition by shard), 0, 1) as shard from n{i}),""" for i in range(4))}
+        c as (select name, shard, sum(count(*)) over (partition by name order by shard) as upto, count(*) as n from n4 group by name, shard),
+        x as (select e.name, block, block_start, pass, c.shard, take from e join c on e.name = c.name and nth > upto - c.n and nth <= upto),
+        y as (select n.doc_id, x.pass, x.shard, case when n.size = 0 then 0 else greatest(0, least(n.size, take - (n.pos - block_start))) end as words
+            from n join x on n.name = x.name and n.pos // n.wide = x.block where n.size > 0 or x.pass = 0),
+        z as (select doc_id, sum(words)::bigint as taken, string_agg(shard::varchar, ',' order by pass) as shards from y
+            where words > 0 or doc_id in (select doc_id from n where size = 0) group by doc_id)
+        select n.doc_id, n.size, n.source_size, n.target, coalesce(taken, 0)::bigint as taken, coalesce(shards, case when n.source_size = 0 then '0' else '' end) as shards
+        from n left join z on n.doc_id = z.doc_id""",
     "op8_warc_index_merge": """
         with p as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
         f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end as first_id from p)

@@ -40,19 +40,52 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.col(text), F.col(text).isNull())
 
 
-def attach(docs: DataFrame, decided: DataFrame, *columns: str) -> DataFrame:
-    """``docs`` joined with ``columns`` of ``decided`` (doc_id, text_key, ...), row for row.
+def matched(docs: DataFrame, decided: DataFrame, *columns: str) -> DataFrame:
+    """Two structs, ``row`` with the columns of ``docs`` and ``given`` with ``columns`` of ``decided`` (doc_id, text_key, ...), row for row.
 
     Rows are told apart by doc_id and text; exact repeats are numbered on both sides, so n equal rows
-    meet n decisions once each.  Columns of ``docs`` keep their names; rows without a decision go.
+    meet n decisions once each.  Rows without a decision go.  As the columns of ``docs`` travel inside
+    a struct, no name of theirs can clash.
     """
-    names = {c: f"__{c}" for c in columns}
-    order = Window.partitionBy("__id", "__key").orderBy(F.lit(0))
-    right = decided.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), *(F.col(c).alias(n) for c, n in names.items()))
-    right = right.withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__key").orderBy(*names.values()))).select(
-        F.coalesce("__id", F.lit(-1)).alias("__a"), F.col("__id").isNull().alias("__b"), F.col("__key").alias("__c"), F.col("__nth").alias("__d"), *names.values()
-    )
-    left = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": text_key()}).withColumn("__nth", F.row_number().over(order))
-    on = (F.coalesce(left["__id"], F.lit(-1)) == right["__a"]) & (left["__id"].isNull() == right["__b"]) & (left["__key"] == right["__c"]) & (left["__nth"] == right["__d"])
-    kept = [c for c in docs.columns if c not in columns]
-    return left.join(right, on).select(*(left[c] for c in kept), *(right[n].alias(c) for c, n in names.items()))
+    by = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("lost")]
+    same = Window.partitionBy("id", "lost", "key")
+    right = decided.select(*by, F.col("text_key").alias("key"), F.struct(*columns).alias("given"))
+    right = right.withColumn("nth", F.row_number().over(same.orderBy("given")))
+    left = docs.select(*by, text_key().alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    left = left.withColumn("nth", F.row_number().over(same.orderBy(F.lit(0))))
+    return left.join(right, ["id", "lost", "key", "nth"]).select("row", "given")
+
+
+def attach(docs: DataFrame, decided: DataFrame, *columns: str) -> DataFrame:
+    """The rows of ``docs`` that ``matched`` finds, with ``columns``; columns of these names are replaced."""
+    both = matched(docs, decided, *columns)
+    return both.select(*(F.col(f"row.`{c}`") for c in docs.columns if c not in columns), *(F.col(f"given.{c}") for c in columns))
+
+
+#: Rows up to which one task may hold them all, as it sorts them.
+FEW_ROWS = 200_000
+
+
+def placed_within(df: DataFrame, group: Sequence[str], order: Sequence[Column], label: str = "placed") -> DataFrame:
+    """``df`` with ``nth`` (from 0 in a total order) and ``of`` (rows) of each row in its group.
+
+    A stored frame of at most FEW_ROWS is numbered by a window; a larger one, in which a group may be
+    too much for a task, along one global order of even ranges.  Both give the same numbers.
+    """
+    if df.count() <= FEW_ROWS:
+        own = Window.partitionBy(*group)
+        return df.withColumns({"nth": (F.row_number().over(own.orderBy(*order)) - 1).cast("long"), "of": F.count("*").over(own)})
+    names = [F.col(c).asc_nulls_first() for c in group]
+    along = running_totals(df, [*names, *order], [])
+    heads = along.groupBy(*group).agg(F.min("position").alias("head"), F.count("*").alias("of")).select(F.struct(*group).alias("group"), "head", "of")
+    along = along.withColumn("own", F.struct(*group)).join(heads, F.col("own").eqNullSafe(F.col("group")))
+    return along.withColumn("nth", F.col("position") - F.col("head")).drop("own", "group", "head", "position", "rid")
+
+
+def sums_before(sums: DataFrame, order: Sequence[Column], totals: Sequence[str] = ()) -> DataFrame:
+    """A stored frame with position and ``<c>_before`` along an order: by a window where they are few, else by ranges."""
+    if sums.count() > FEW_ROWS:
+        return running_totals(sums, order, totals).drop("rid")
+    along = Window.orderBy(*order)
+    ahead = along.rowsBetween(Window.unboundedPreceding, -1)
+    return sums.withColumns({"position": F.row_number().over(along) - 1} | {f"{c}_before": F.coalesce(F.sum(c).over(ahead), F.lit(0)).cast("long") for c in totals})
