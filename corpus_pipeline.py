@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.hilbert import shard_documents
 from tidemark.llm.language_mixture import known_language
-from tidemark.llm.mixing import deal_documents
+from tidemark.llm.mixing import mixed
 from tidemark.llm.ngram_join import one_per_group
 from tidemark.llm.spaced_seeds import decontaminate
 from tidemark.llm.store import materialize, read_table
@@ -33,8 +33,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the dealt mix draws them: up to three times, or not at all; one is cut where its source's quota ends."""
-    return deal_documents(docs)
+    """Documents as often as the mix deals them: up to three times, or not at all; one is cut where its source's quota ends.
+
+    Columns stay; where rows go is decided by the next stage, along its curve.
+    """
+    return mixed(docs).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
