@@ -8,11 +8,11 @@ import numpy as np
 import pytest
 from brute import words
 
-from tidemark.llm import spaced_seeds
+from tidemark.llm import spaced_seeds, warc
 from tidemark.llm.cover_tree import Search, Top, routes, top_k, tree
 from tidemark.llm.line_dedup import PIECES, repeated_units, without_repeats
 from tidemark.llm.spaced_seeds import contaminated, decontaminate
-from tidemark.llm.warc import archive_round_trip, loser_tree, parse_records, url_key, write_archives
+from tidemark.llm.warc import archive_round_trip, capture_index, loser_tree, parse_records, unpacked, url_key, write_archives
 
 # ---- lines
 
@@ -248,6 +248,25 @@ def test_archives(spark, tmp_path):
         list(parse_records(data[:-30]))
 
 
+def test_members_and_ranges(spark, tmp_path, monkeypatch):
+    """An archive of one gzip member a record is read whole, as is a plain one; ranges cut one URL's captures in order."""
+    import gzip
+
+    pages = spark.createDataFrame([(i, "http://a/" if i % 3 else f"http://b{i}/", f"page {i} " * 20) for i in range(300)], "page_id long, url string, html string")
+    write_archives(pages.coalesce(1), f"file://{tmp_path}/w")
+    data = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "w").glob("part-*")))
+    starts = [at for at, _, _ in parse_records(data)] + [len(data)]
+    members = [gzip.compress(data[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "part-0.gz").write_bytes(b"".join(members[:200]))
+    (tmp_path / "m" / "part-1").write_bytes(data[starts[200] :])
+    monkeypatch.setattr(warc, "RANGE_ROWS", 20)
+    got = [(r.urlkey, r.captured, r.page_id) for r in capture_index(spark, f"file://{tmp_path}/m").collect()]
+    assert got == sorted(got) and sorted(x[2] for x in got) == list(range(300))
+    with pytest.raises(ValueError):
+        unpacked(members[0] + members[1][:-9])
+
+
 def test_loser_tree():
     r = random.Random(1)
     for k in (0, 1, 2, 3, 7, 16):

@@ -335,7 +335,7 @@ def _word_values(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return tk.word_hashes(data, starts, ends)
 
 
-_SCORED = "rid long, doc_id long, held_out boolean, n_words long, known long, logs double, score double, rare array<struct<word: long, n: long>>, rare_grams array<struct<gram: long, n: long>>"
+_SCORED = "rid long, doc_id long, held_out boolean, n_bytes long, n_words long, known long, logs double, score double, rare array<struct<word: long, n: long>>, rare_grams array<struct<gram: long, n: long>>"
 
 
 def _listed(who: np.ndarray, what: np.ndarray, texts: int, name: str) -> pa.Array:
@@ -370,20 +370,20 @@ def _scored(scorer: Scorer, hot: np.ndarray, hot_log: np.ndarray):
                 ids = pa.array(np.arange(row, row + n))
                 row += n
                 yield pa.RecordBatch.from_arrays(
-                    [ids, batch.column("doc_id").slice(first, n), batch.column("held_out").slice(first, n), pa.array(np.diff(index)), pa.array(known.astype(np.int64)), pa.array(logs), pa.array(score), rare, rare_grams],
-                    names=["rid", "doc_id", "held_out", "n_words", "known", "logs", "score", "rare", "rare_grams"],
+                    [ids, batch.column("doc_id").slice(first, n), batch.column("held_out").slice(first, n), pa.array(np.diff(offsets)), pa.array(np.diff(index)), pa.array(known.astype(np.int64)), pa.array(logs), pa.array(score), rare, rare_grams],
+                    names=["rid", "doc_id", "held_out", "n_bytes", "n_words", "known", "logs", "score", "rare", "rare_grams"],
                 )
 
     return run
 
 
 def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH) -> DataFrame:
-    """A row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """A row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     docs: doc_id and text; other columns are ignored.  Learns from rows for which ``held_out`` is
     false (null counts as false).  Tokens are the lower-cased words and one end; base_score is the
     add-one unigram's log10 probability, score the context tree's, of the lower-cased bytes and an
-    end.  Null text is empty; long texts are
+    end, bits_per_byte its code length over these.  Null text is empty; long texts are
     scored whole; repeated rows are learned as often as they occur and score alike; without training
     rows the tree predicts evenly and no token is known; an empty table gives no rows.
     """
@@ -412,4 +412,5 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH) -> Da
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("add", F.lit(0.0)) + end_log - tokens * F.lit(size)).alias("base_score"),
         (F.col("score") + F.coalesce("other", F.lit(0.0))).alias("score"),
+        ((F.col("score") + F.coalesce("other", F.lit(0.0))) * F.lit(-math.log2(10)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )

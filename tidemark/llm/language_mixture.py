@@ -2,8 +2,13 @@
 
 Each learned language is a distribution of letter trigrams (with word edges).  A document's words are
 draws from a mixture of languages: expectation-maximisation estimates the proportions from each word's
-trigram likelihoods, for nested sets of languages, and the set with the best likelihood less
-(languages - 1) / 2 * log(words) is taken.  The prediction is the set's largest proportion.
+trigram likelihoods, for nested sets of all sizes (by the proportions over all languages), and the set
+with the best likelihood less (languages - 1) / 2 * log(words) is taken.  The prediction is the set's
+largest proportion.
+
+The likelihood is concave in the proportions, so its maximum has a bound at every step: iterations end
+when it is at most SLACK above what was reached.  The maximum over all languages in turn bounds every
+smaller set's, so sizes that can't win any more are left out without a limit on their number.
 """
 
 from __future__ import annotations
@@ -19,8 +24,8 @@ from . import textkit as tk
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
-ROUNDS = 10
-MOST_LANGUAGES = 4
+#: How far below its maximum a log likelihood may be when iterations end.
+SLACK = 0.01
 UNKNOWN = "und"
 
 _LETTER = np.full(256, 32, dtype=np.uint8)
@@ -83,17 +88,31 @@ def learn(labelled: DataFrame) -> Model:
     return Model(names, logs.astype(np.float32))
 
 
-def _fit(gain: np.ndarray, at: np.ndarray, words: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """EM from ``shares`` (texts x languages; 0 stays 0): proportions and log likelihood per text.
+def _fit(gain: np.ndarray, at: np.ndarray, words: np.ndarray, shares: np.ndarray, rounds: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
+    """EM from ``shares`` (texts x languages; 0 stays 0) to within SLACK of the maximum: proportions and log likelihood per text.
 
-    gain: each word's likelihoods over its best one; at: each text's first word; words: its number of words.
+    gain: each word's likelihoods over its best one; at: each text's first word; words: its number of
+    words.  Texts that have settled leave the iteration.
     """
-    owner = np.repeat(np.arange(len(at)), words)
-    for _ in range(ROUNDS):
-        part = gain * shares[owner]
-        part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
-        shares = np.add.reduceat(part, at, axis=0) / words[:, None]
-    return shares, np.add.reduceat(np.log(np.maximum((gain * shares[owner]).sum(axis=1), 1e-300)), at)
+    out, fit = shares.copy(), np.zeros(len(at))
+    live = np.arange(len(at))
+    for turn in range(rounds + 1):
+        owner = np.repeat(np.arange(len(at)), words)
+        mix = np.maximum(np.einsum("ij,ij->i", gain, shares[owner]), 1e-300)
+        slope = np.add.reduceat(gain / mix[:, None], at, axis=0) / words[:, None]
+        # concave: the maximum lies at most words * (steepest slope - 1) above
+        done = words * (np.where(shares > 0, slope, 0).max(axis=1) - 1) < SLACK
+        if turn == rounds:
+            done[:] = True
+        if done.sum() * 5 >= len(done):
+            out[live[done]], fit[live[done]] = shares[done], np.add.reduceat(np.log(mix), at)[done]
+            left = ~done
+            if not left.any():
+                break
+            gain, shares, slope, words, live = gain[left[owner]], shares[left], slope[left], words[left], live[left]
+            at = np.append(0, np.cumsum(words)[:-1])
+        shares = shares * slope
+    return out, fit
 
 
 def infer(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,19 +128,31 @@ def infer(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
     top = log.max(axis=1, keepdims=True)
     gain, base = np.exp(log - top), np.add.reduceat(top[:, 0], at)
     single = totals.argmax(axis=1)
-    rows = np.arange(len(texts))
-    choice, share, value = single, np.ones(len(texts)), totals[rows, single]
-    if k > 1:
-        full, _ = _fit(gain, at, words, np.full((len(texts), k), 1 / k))
+    choice, share, value = single.copy(), np.ones(len(texts)), totals[np.arange(len(texts)), single]
+    some = np.flatnonzero(base - np.log(words) / 2 > value + 1e-9)  # elsewhere not even a perfect mixture of two would win
+    if k > 1 and len(some):
+        mark = np.zeros(len(texts), dtype=bool)
+        mark[some] = True
+        owner = np.repeat(mark, words)
+        gain, words = gain[owner], words[some]
+        at = np.append(0, np.cumsum(words)[:-1])
+        full, most = _fit(gain, at, words, np.full((len(some), k), 1 / k))
+        most = base[some] + most + SLACK
         order = np.argsort(-full, axis=1, kind="stable")
-        for size in range(2, min(k, MOST_LANGUAGES) + 1):
-            start = np.zeros_like(full)
-            np.put_along_axis(start, order[:, :size], 1 / size, axis=1)
-            shares, fit = _fit(gain, at, words, start)
-            penalised = base + fit - (size - 1) / 2 * np.log(words)
-            better = penalised > value + 1e-9
-            lead = shares.argmax(axis=1)
-            choice, share, value = np.where(better, lead, choice), np.where(better, shares[rows, lead], share), np.where(better, penalised, value)
+        for size in range(2, k + 1):
+            may = most - (size - 1) / 2 * np.log(words) > value[some] + 1e-9
+            if not may.any():
+                break
+            own = np.flatnonzero(may)
+            part = gain[np.repeat(may, words)]
+            start = np.zeros((len(own), k))
+            np.put_along_axis(start, order[own, :size], 1 / size, axis=1)
+            shares, fit = _fit(part, np.append(0, np.cumsum(words[own])[:-1]), words[own], start)
+            penalised = base[some[own]] + fit - (size - 1) / 2 * np.log(words[own])
+            better = penalised > value[some[own]] + 1e-9
+            rows = some[own[better]]
+            lead = shares[better].argmax(axis=1)
+            choice[rows], share[rows], value[rows] = lead, shares[better][np.arange(len(rows)), lead], penalised[better]
     best[texts], score[texts] = choice, np.clip(share, 0, 1)
     return best, score
 
@@ -173,7 +204,9 @@ def held_out(remainder: int = 2, parts: int = 4):
 def known_language(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose language is ``und``; columns stay.
 
-    Learns from the labels of the rows that are not held out.
+    Learns from the labels of the rows that are not held out.  Where there are none (an empty or
+    unlabelled table, or no lang column) nothing can be said of languages, and only null texts and texts
+    without a letter go.  Repeated rows share their fate; long texts are judged whole.
     """
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     model = learn(docs.where(~held_out() & F.col("doc_id").isNotNull()).select("text", lang.alias("lang")))
@@ -187,7 +220,11 @@ def _kept(model: Model):
         for batch in batches:
             if len(batch):
                 named = pa.RecordBatch.from_arrays([batch.column("text"), pa.nulls(len(batch))], names=["text", "row"])
-                langs = pa.chunked_array([x.column("lang_pred") for x in judge(iter([named]))]).combine_chunks()
-                yield batch.filter(pa.array(langs.to_numpy(zero_copy_only=False) != UNKNOWN))
+                if model.names:
+                    langs = pa.chunked_array([x.column("lang_pred") for x in judge(iter([named]))]).combine_chunks()
+                    keep = langs.to_numpy(zero_copy_only=False) != UNKNOWN
+                else:
+                    keep = [t is not None and not _no_letter(t.encode()) for t in batch.column("text").to_pylist()]
+                yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run

@@ -39,7 +39,7 @@ def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and added spans of personal data of every document."""
     found = find_personal_data(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_spans")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Personal data by patterns and a semi-Markov conditional random field.
 
-Base spans come from fixed patterns.  Around digits and at-signs, also spelled (at) or [at], the text is cut to tokens, and a
-semi-Markov CRF scores whole candidate spans: features look at all of a span (shape, digits, checksum,
-the words before it), entities are at most MOST_TOKENS long, and dynamic programming chooses
-boundaries and types together.  Its weights are learned here, by likelihood, from sentences made by a
-rule from a seed (SENTENCES of them).  Spans that it finds apart from base spans are added.
+Base spans come from fixed patterns.  A semi-Markov CRF then scores whole candidate spans: features
+look at all of a span (shape, digits, checksum, the words before it), entities are at most MOST_TOKENS
+tokens and MOST_CHARS code points long and hold an anchor (a digit, an at-sign, also spelled (at) or
+[at]), and dynamic programming chooses boundaries and types together.  As tokens farther than
+MOST_TOKENS from every anchor can be in no candidate and score 0, only the stretches between are
+decoded, with the same result as for the whole text.  The weights are learned here, by likelihood, from
+sentences made by a rule from a seed (SENTENCES of them).  Spans that it finds apart from base spans
+are added.
 """
 
 from __future__ import annotations
@@ -23,11 +26,11 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that the field may add, in the order in which equal starts are listed.
-ALL_KINDS = (*KINDS, "secret")
+ALL_KINDS = (*KINDS, "secret", "ssn")
 MOST_TOKENS = 14
-#: Tokens on either side of a digit or (spelled) at-sign that are decoded with it.
-REACH = 6
-SENTENCES = 600
+MOST_CHARS = 128
+LEAST_CHARS = 6
+SENTENCES = 900
 EPOCHS = 12
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -82,30 +85,35 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 # ---- the field
 
-_TOKEN = re.compile(r"\((?:at|dot)\)|\[(?:at|dot)\]|[A-Za-z0-9]{24,}|[A-Za-z]+|[0-9]+|[^\W\d_]+|\s+|[^\sA-Za-z0-9]")
-_ANCHOR = re.compile(r"[0-9@]|\(at\)|\[at\]")
+_TOKEN = re.compile(r"\((?:at|dot)\)|\[(?:at|dot)\]|[A-Za-z0-9_]{16,}|[A-Za-z]+|[0-9]+|[^\W\d_]+|\s+|[^\sA-Za-z0-9]", re.I)
+_ANCHOR = re.compile(r"[0-9@]|\(at\)|\[at\]", re.I)
 _SHAPES = (
     ("dashed", re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}")),
     ("plus", re.compile(r"\+[0-9][0-9 ().-]{8,18}[0-9]")),
-    ("mail", re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?)[A-Za-z0-9-]+)+")),
+    ("mail", re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?)[A-Za-z0-9-]+)+", re.I)),
     ("quad", re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")),
     ("groups", re.compile(r"[0-9]{4}(?:[ .-]?[0-9]{4}){3}")),
-    ("hex", re.compile(r"(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,64}")),
+    ("ssn", re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")),
+    ("hex", re.compile(r"(?=[0-9]*[a-fA-F])(?=[a-fA-F]*[0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})")),
+    ("code", re.compile(r"(?=[A-Za-z_]*[0-9])(?=[0-9_]*[A-Za-z])[A-Za-z0-9_]{16,64}")),
+    ("snake", re.compile(r"(?:[A-Za-z]+|[A-Za-z]?[0-9]+)(?:_(?:[A-Za-z]+|[A-Za-z]?[0-9]+))+")),
+    ("pass", re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9!#$%&*^_-]{6,40}")),
     ("number", re.compile(r"[0-9]+")),
     ("word", re.compile(r"[A-Za-z]+")),
 )
 _CUES = (
     ("cue-phone", re.compile(r"(?:phone|tel|call|mobile|fax)[^A-Za-z0-9]{0,3}$", re.I)),
-    ("cue-secret", re.compile(r"(?:token|secret|key|password)[^A-Za-z0-9]{1,5}$", re.I)),
+    ("cue-secret", re.compile(r"(?:token|secret|key|passw(?:or)?d|pwd|auth)(?: is)?[^A-Za-z0-9]{1,5}$", re.I)),
     ("cue-card", re.compile(r"(?:card|visa|pay)[^A-Za-z0-9]{0,3}$", re.I)),
-)
+    ("cue-ssn", re.compile(r"(?:ssn|social security(?: number)?)[^A-Za-z0-9]{0,3}$", re.I)),
+)
 
 
 def features(text: str, start: int, stop: int, tokens: int) -> list[str]:
     """Features of a whole candidate span, joined with each type by the field."""
     span = text[start:stop]
     out = [f"shape-{name}" for name, shape in _SHAPES if shape.fullmatch(span)] or ["shape-none"]
-    before = text[max(0, start - 16) : start]
+    before = text[max(0, start - 32) : start]
     cues = [name for name, cue in _CUES if cue.search(before)]
     digits = _only_digits(span)
     if 14 <= len(digits) <= 19:
@@ -128,8 +136,8 @@ class Region:
 
     def __init__(self, text: str, start: int, stop: int):
         self.tokens = [(start + m.start(), start + m.end()) for m in _TOKEN.finditer(text[start:stop])]
-        blank = [text[a:b].isspace() for a, b in self.tokens]
-        hot = [bool(_ANCHOR.search(text[a:b])) for a, b in self.tokens]
+        blank = [text[a].isspace() for a, _ in self.tokens]
+        hot = [bool(_ANCHOR.search(text, a, b)) for a, b in self.tokens]
         self.candidates: list[list[tuple[int, list[str]]]] = []  # by first token: (token after the last, features)
         for i in range(len(self.tokens)):
             own = []
@@ -137,26 +145,34 @@ class Region:
                 seen = False
                 for j in range(i, min(len(self.tokens), i + MOST_TOKENS)):
                     seen = seen or hot[j]
-                    if seen and not blank[j] and self.tokens[j][1] - self.tokens[i][0] >= 7:
+                    size = self.tokens[j][1] - self.tokens[i][0]
+                    if size > MOST_CHARS:
+                        break
+                    if seen and not blank[j] and size >= LEAST_CHARS:
                         own.append((j + 1, features(text, self.tokens[i][0], self.tokens[j][1], j + 1 - i)))
             self.candidates.append(own)
 
 
 def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches around digits and (spelled) at-signs; tokens between them can be no entity."""
+    """Stretches of tokens with an anchor within MOST_TOKENS; all candidates lie within them."""
+    if not _ANCHOR.search(text):
+        return
     start = stop = -1
-    for m in re.finditer(r"(?:[0-9@]|\(at\)|\[at\])[0-9@ .()-]*", text):
-        a, b = m.start(), m.end()
-        for _ in range(REACH):  # whole words, and the blanks between them
-            a = max(text.rfind(" ", 0, max(0, a - 1)), text.rfind("\n", 0, max(0, a - 1)), a - 80, 0)
-            nxt = [x for x in (text.find(" ", b + 1, b + 80), text.find("\n", b + 1, b + 80)) if x >= 0]
-            b = min(nxt, default=min(len(text), b + 80))
-        if start >= 0 and a <= stop:
-            stop = max(stop, b)
-        else:
-            if start >= 0:
+    left: list[int] = []  # starts of the last tokens
+    after = 0
+    for m in _TOKEN.finditer(text):
+        left.append(m.start())
+        if len(left) > MOST_TOKENS:
+            del left[0]
+        if _ANCHOR.search(text, m.start(), m.end()):
+            if start >= 0 and left[0] > stop:
                 yield start, stop
-            start, stop = a, b
+                start = -1
+            if start < 0:
+                start = left[0]
+            after = MOST_TOKENS
+        if after:
+            stop, after = m.end(), after - 1
     if start >= 0:
         yield start, stop
 
@@ -235,7 +251,7 @@ def sentences(count: int = SENTENCES, seed: int = 17) -> Iterator[tuple[str, set
         return body + next(c for c in "0123456789" if luhn(body + c) == valid)
 
     def entity() -> tuple[str, str, str]:
-        pick = r.randrange(9)
+        pick = r.randrange(13)
         if pick == 0:
             return "", f"{word()}{r.choice(['.', '_', ''])}{digits(r.randint(0, 2))}{word()}@{word()}.{r.choice(['example.com', 'net', 'org'])}", "email"
         if pick == 1:
@@ -251,9 +267,25 @@ def sentences(count: int = SENTENCES, seed: int = 17) -> Iterator[tuple[str, set
             return r.choice(["", "tel "]), f"+{r.randint(1, 99)} {digits(3)} {digits(3)} {digits(4)}", "phone"
         if pick in (5, 6):
             return r.choice(["phone ", "call ", "tel: ", ""]), r.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}"]), "phone"
-        if pick == 7:
-            return r.choice(["token = \"", "key: ", "secret="]), "".join(r.choice("0123456789abcdef") for _ in range(40)), "secret"
-        miss = r.randrange(6)
+        cue = r.choice(["token = \"", "key: ", "secret=", "password: ", "passwd=", "auth token is "])
+        if pick in (7, 8):
+            return cue, "".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40, 64]))), "secret"
+        if pick == 9:
+            code = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" if r.random() < 0.5 else "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(r.choice([16, 20, 36])))
+            return r.choice([cue, ""]), r.choice(["", "ab_", "AK"]) + digits(1) + code + "x7", "secret"
+        if pick == 10:
+            return r.choice(["password: ", "passwd=", "pwd "]), f"{word()}ax{r.choice(['', '_', '!', '-'])}{digits(r.randint(1, 4))}{word()[:2]}", "secret"
+        if pick == 11:
+            return r.choice(["ssn ", "social security number ", ""]), f"{digits(3)}-{digits(2)}-{digits(4)}", "ssn"
+        miss = r.randrange(10)
+        if miss == 9:
+            return "", "_".join([word(), word(), r.choice([word(), digits(2)]), word(), digits(r.randint(1, 2))]), ""
+        if miss == 6:
+            return "", f"{word()}ax{r.choice(['', '_', '-'])}{digits(r.randint(1, 4))}", ""
+        if miss == 7:
+            return r.choice(["token ", "key "]), word() + word(), ""
+        if miss == 8:
+            return "", f"{digits(4)}-{digits(2)}-{digits(3)}", ""
         if miss == 5:
             return "", r.choice([f"{word()} (at) {word()}", f"{word()}[at] {word()}"]), ""
         if miss == 0:
@@ -264,13 +296,14 @@ def sentences(count: int = SENTENCES, seed: int = 17) -> Iterator[tuple[str, set
 
     for _ in range(count):
         text, truth = " ".join(word() for _ in range(r.randint(0, 5))), set()
+        loud = r.random() < 0.15
         for _ in range(r.randint(1, 2)):
             cue, body, kind = entity()
             text = f"{text} {cue}" if text else cue
             if kind:
                 truth.add((len(text), len(text) + len(body), kind))
-            text += body + r.choice(["", ".", ",", "\""]) + " " + " ".join(word() for _ in range(r.randint(0, 4)))
-        yield text, truth
+            text += body + r.choice(["", ".", ",", "\"", "!!" if loud else ""]) + " " + " ".join(word() for _ in range(r.randint(0, 4)))
+        yield (text.upper() if loud else text), truth
 
 
 @lru_cache(maxsize=1)
@@ -281,13 +314,15 @@ def trained_field(count: int = SENTENCES, epochs: int = EPOCHS) -> Field:
     return out
 
 
-def all_spans(text: str, field: Field) -> list[tuple[int, int, str]]:
+def all_spans(text: str, field: Field, base: list[tuple[int, int, str]] | None = None) -> list[tuple[int, int, str]]:
     """Base spans and those that the field adds, by start, then kind."""
-    base = base_spans(text)
-    out = list(base)
+    base = base_spans(text) if base is None else base
+    out, at, end = list(base), 0, 0
     for a, b in regions(text):
-        for start, stop, kind in field.best(Region(text, a, b)):
-            if not any(s < stop and start < e for s, e, _ in base):
+        for start, stop, kind in field.best(Region(text, a, b)):  # ascending, as base spans are
+            while at < len(base) and base[at][0] < stop:
+                end, at = max(end, base[at][1]), at + 1
+            if end <= start:
                 out.append((start, stop, kind))
     return sorted(out, key=lambda s: (s[0], ALL_KINDS.index(s[2]), s[1]))
 
@@ -297,11 +332,12 @@ def _listed(spans: list[tuple[int, int, str]]) -> str:
 
 
 def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base, spans: a row per row of ``docs``.
+    """doc_id, n_email, n_ip, n_card, n_phone, base, spans, n_spans: a row per row of ``docs``.
 
     docs: doc_id and text; other columns are ignored.  The counts and ``base`` are of base spans,
     ``spans`` has those and the added ones, each as kind:start:stop in code points, stop exclusive,
-    by start, then kind, joined by commas.  Null text is empty (no spans, empty strings); repeated
+    by start, then kind, joined by commas, ``n_spans`` counts them.  Null text is empty (no spans, empty
+    strings); long texts are taken whole; of equal segmentations the shorter last entity wins; repeated
     rows give repeated results; an empty table gives no rows.
     """
     field = field or trained_field()
@@ -313,13 +349,14 @@ def find_personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame
                 text = text.as_py() or ""
                 base = base_spans(text)
                 counts = [sum(s[2] == k for s in base) for k in KINDS]
-                rows.append((*counts, _listed(base), _listed(all_spans(text, field))))
+                spans = all_spans(text, field, base)
+                rows.append((*counts, _listed(base), _listed(spans), len(spans)))
             if rows:
-                columns = [pa.array(c, pa.int64() if i < 4 else pa.string()) for i, c in enumerate(zip(*rows, strict=True))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "spans"])
+                columns = [pa.array(c, pa.string() if i in (4, 5) else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "spans", "n_spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
+    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string, n_spans long")
 
 
 def masked(text: str, field: Field) -> str:

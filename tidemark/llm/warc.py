@@ -6,8 +6,10 @@ CRLFs that end a record.  Files are gzip-compressed and hold a bounded number of
 walks each file by Content-Length, so payloads may hold anything.
 
 Index.  Each archive gives a run of captures sorted by (URL key, time, page).  Runs are cut at common
-key ranges, and each range is merged by a loser tree over its pieces of runs: rows come out in global
-order, range after range, a URL's captures in time order.
+key ranges of about RANGE_ROWS rows, whatever the keys: the time and page are part of the cut, so one
+URL with very many captures spans several.  The exchange delivers a range's pieces one after the other,
+each in order, and a loser tree merges them: rows come out in global order, range after range, a URL's
+captures in time order.  A task holds its range as Arrow columns and one small block of keys per run.
 """
 
 from __future__ import annotations
@@ -17,7 +19,9 @@ import zlib
 from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +30,12 @@ from .store import fresh_path, materialize
 #: Payloads of fewer bytes are always stored.
 LEAST_REVISIT = 100
 RECORDS_PER_FILE = 4096
+#: Captures of one merged range, about; a task holds them (some hundred bytes each).
+RANGE_ROWS = 200_000
+#: Keys of a run that are Python objects at a time.
+HEAD_ROWS = 256
+#: Digests of repeated payloads that are sent to every executor; more are joined by a shuffle.
+BROADCAST_DIGESTS = 500_000
 CAPTURE = "urlkey string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
 _FIELDS = [x.split()[0] for x in CAPTURE.split(", ")]
 _ARROW = pa.schema([(x.split()[0], pa.int64() if x.endswith("long") else pa.string()) for x in CAPTURE.split(", ")])
@@ -41,7 +51,8 @@ def archive_records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("payload"))
     base = base.withColumns({"bytes": F.octet_length("payload"), "digest": F.sha2(F.col("payload").cast("binary"), 256)})
     shared = base.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    rows = base.join(shared, "digest", "left")
+    shared = materialize(shared, "warc-digests")  # so payloads needn't move where these are few, and a hot one's rows can be split where not
+    rows = base.join(F.broadcast(shared) if shared.count() <= BROADCAST_DIGESTS else shared, "digest", "left")
     revisit = F.coalesce(F.col("first") < F.coalesce(F.col("page_id"), F.lit((1 << 63) - 1)), F.lit(False))
     url = F.regexp_replace("url", "[\\x00-\\x20\\x7F]", "%20")
     when = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(1_000_000_000))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -118,23 +129,37 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
+def unpacked(data: bytes) -> bytes:
+    """An archive's bytes: of a compressed one all gzip members, one after the other."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(data) + member.flush())
+        if not member.eof:
+            raise ValueError("the archive's last gzip member is cut short")
+        data = member.unused_data.lstrip(b"\0")  # padding between members
+    if out and data:
+        raise ValueError("bytes behind the archive's last gzip member")
+    return b"".join(out) if out else data
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
-            archive, data = path.as_py().rpartition("/")[2], content.as_py()
-            if data[:2] == b"\x1f\x8b":
-                data = zlib.decompress(data, 47) if data else data
+            archive, data = path.as_py().rpartition("/")[2], unpacked(content.as_py())
             if run := sorted((_capture(archive, *r) for r in parse_records(data)), key=_order):
-                yield _table(run)
+                for at in range(0, len(run), 10_000):
+                    yield _table(run[at : at + 10_000])
 
 
-def loser_tree(runs: list[list[tuple]], key=_order) -> Iterator[tuple]:
-    """Merge sorted runs: a tree of losers, one comparison a level for each row."""
+def loser_tree(runs: list[Iterable[tuple]], key=_order) -> Iterator[tuple]:
+    """Merge sorted runs, read one row at a time: a tree of losers, one comparison a level for each row."""
     k = 1
     while k < len(runs):
         k *= 2
-    places = [0] * len(runs)
-    heads = [(key(r[0]), i) if r else None for i, r in enumerate(runs)] + [None] * (k - len(runs))
+    feeds = [iter(r) for r in runs]
+    rows = [next(f, None) for f in feeds]
+    heads = [(key(r), i) if r is not None else None for i, r in enumerate(rows)] + [None] * (k - len(runs))
     beats = lambda a, b: heads[a] is not None and (heads[b] is None or heads[a] < heads[b])
     losers, winners = [0] * k, [0] * k + list(range(k))
     for node in range(k - 1, 0, -1):
@@ -142,9 +167,9 @@ def loser_tree(runs: list[list[tuple]], key=_order) -> Iterator[tuple]:
         winners[node], losers[node] = (a, b) if beats(a, b) else (b, a)
     best = winners[1] if k > 1 else 0
     while heads and heads[best] is not None:
-        yield runs[best][places[best]]
-        places[best] += 1
-        heads[best] = (key(runs[best][places[best]]), best) if places[best] < len(runs[best]) else None
+        yield rows[best]
+        rows[best] = next(feeds[best], None)
+        heads[best] = (key(rows[best]), best) if rows[best] is not None else None
         node = (best + k) // 2
         while node:
             if beats(losers[node], best):
@@ -152,33 +177,47 @@ def loser_tree(runs: list[list[tuple]], key=_order) -> Iterator[tuple]:
             node //= 2
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    runs: dict[str, list[tuple]] = {}
-    for batch in batches:
-        for row in zip(*(batch.column(f).to_pylist() for f in _FIELDS), strict=True):
-            runs.setdefault(row[7], []).append(row)
-    for run in runs.values():  # the exchange may hand a run over in pieces
-        if any(_order(a) > _order(b) for a, b in zip(run, run[1:], strict=False)):
-            run.sort(key=_order)
-    out: list[tuple] = []
-    for row in loser_tree(list(runs.values())):
-        out.append(row)
-        if len(out) == 10_000:
-            yield _table(out)
-            out.clear()
-    if out:
-        yield _table(out)
+_ORDER = ["urlkey", "captured", "page_id", "archive", "offset"]
 
 
-def _empty(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], CAPTURE)
+def _piece(rows: pa.Table, start: int, stop: int) -> Iterator[tuple]:
+    """Sort keys of a run's piece with their row numbers."""
+    for at in range(start, stop, HEAD_ROWS):
+        block = rows.slice(at, min(HEAD_ROWS, stop - at)).select(_ORDER)
+        for n, (url, when, page, archive, offset) in enumerate(zip(*(c.to_pylist() for c in block.columns), strict=True)):
+            yield (url, when, page is not None, page or 0, archive, offset), at + n
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [b for b in batches if len(b)]
+    if not held:
+        return
+    rows = pa.Table.from_batches(held)
+    archive = rows.column("archive").combine_chunks()
+    archive = archive if isinstance(archive, pa.Array) else archive.chunk(0)
+    change = pc.not_equal(archive.slice(1), archive.slice(0, len(archive) - 1)).to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(archive)]
+    order: list[int] = []
+
+    def block() -> Iterator[pa.RecordBatch]:
+        yield from rows.take(pa.array(order)).combine_chunks().to_batches()
+        order.clear()
+
+    for _, row in loser_tree([_piece(rows, a, b) for a, b in zip(cuts, cuts[1:], strict=False)], key=lambda x: x[0]):
+        order.append(row)
+        if len(order) == 10_000:
+            yield from block()
+    if order:
+        yield from block()
 
 
 def capture_index(spark: SparkSession, path: str) -> DataFrame:
     """All captures in the archives below ``path``, in the global order (urlkey, captured, page_id)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    runs = materialize(files.mapInArrow(_runs, CAPTURE), "runs")
-    return runs.repartitionByRange("urlkey", "captured", "page_id", "archive", "offset").mapInArrow(_merge, CAPTURE)
+    runs = materialize(files.mapInArrow(_runs, CAPTURE), "warc-runs")
+    ranges = max(spark.sparkContext.defaultParallelism, -(-runs.count() // RANGE_ROWS))
+    dealt = runs.repartitionByRange(ranges, *_ORDER).sortWithinPartitions("archive", "urlkey", "captured", F.col("page_id").asc_nulls_first(), "offset")
+    return dealt.mapInArrow(_merge, CAPTURE)
 
 
 def archive_round_trip(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
@@ -186,8 +225,9 @@ def archive_round_trip(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFram
 
     Result: the columns of CAPTURE, a row per row of pages.  Null html is an empty payload, null url
     an empty URL key (sorted first), null page_id null; repeated page_ids are records of their own,
-    and rows with a group's smallest page_id are all responses; an empty table gives no rows; other
-    columns are ignored.
+    and rows with a group's smallest page_id are all responses; long payloads are stored whole (an archive
+    of RECORDS_PER_FILE records is read at once, so its records must fit a task, and stay under 2 GB);
+    offset counts bytes of the uncompressed archive; an empty table gives no rows; other columns are ignored.
     """
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
