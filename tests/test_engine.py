@@ -1,8 +1,14 @@
+import threading
+import time
+from collections import Counter
+
 import pytest
 
+import tidemark.engine as engine_module
 from tidemark.engine import Config, Engine
 from tidemark.functions import varint_decode, varint_encode
-from tidemark.model import DAY, Closed, FieldTypeMismatch, InvalidPoint, NotFound, Point, Shape
+from tidemark.model import DAY, SECOND, Closed, Conflict, FieldTypeMismatch, InvalidPoint, NotFound, Point, Shape
+from tidemark.operators.maintenance import plan_level
 from tidemark.service import CallError, Service
 from tidemark.streaming import deduplicated, ingest
 
@@ -90,6 +96,159 @@ def test_compaction_delete_retention(engine):
     assert engine.query("db", "cpu", 0).count() == 6
 
 
+def test_batch_keeps_what_came_before_a_change_of_type(engine):
+    with pytest.raises(FieldTypeMismatch):
+        engine.write_batch([Point("d", "m", 1, {}, {"x": 1}), Point("d", "m", 2, {}, {"x": 1.5}), Point("d", "m", 3, {}, {"x": 2})])
+    assert [r.x for r in engine.query("d", "m", 0).collect()] == [1]
+
+
+def test_readers_keep_their_files(spark, tmp_path):
+    """A query planned before a compaction still reads the old files; they go after the time of grace."""
+    engine = Engine(spark, Config(f"file://{tmp_path}/base", shard_width=DAY))
+    fill(engine), fill(engine)
+    before = engine.query("db", "cpu", 0)
+    engine.compact("db", "cpu")
+    assert before.count() == 20 and engine.query("db", "cpu", 0).count() == 10
+    assert engine.vacuum("db", "cpu") == 0 and engine.vacuum("db", "cpu", now=time.time_ns() + 601 * SECOND) == 6
+    assert engine.query("db", "cpu", 0).count() == 10 and engine.vacuum("db", "cpu", now=time.time_ns() + 601 * SECOND) == 0
+
+
+def test_crash_between_the_steps_of_a_compaction(spark, tmp_path, monkeypatch):
+    config = Config(f"file://{tmp_path}/base", shard_width=DAY, grace=0)
+    engine = Engine(spark, config)
+    fill(engine), fill(engine)
+    engine.delete_range("db", "cpu", '{"host":"s0"}', 0, DAY // 2)
+
+    def crash(*_, **__):
+        raise RuntimeError("lost power")
+
+    with monkeypatch.context() as m:
+        m.setattr("tidemark.engine.found_parts", crash)  # files are written, the manifest doesn't name them
+        with pytest.raises(RuntimeError):
+            engine.compact("db", "cpu")
+    assert engine.query("db", "cpu", 0).count() == 20
+    with monkeypatch.context() as m:
+        m.setattr(Engine, "vacuum", crash)  # the manifest names the new files, the old ones lie there still
+        with pytest.raises(RuntimeError):
+            engine.compact("db", "cpu")
+    again = Engine(spark, config)  # opening removes what the first crash left
+    assert again.query("db", "cpu", 0).count() == 8 and again.vacuum("db", "cpu") == 6
+    folders = again.files.folders(f"{tmp_path}/base/db/cpu/data")
+    named = {f"batch={p['batch']}" for p in again._manifest("db", "cpu").load()["parts"]}
+    assert named <= set(folders) and again.recover() == [f"{config.base}/db/cpu/data/{f}" for f in folders if f not in named]
+    assert again.query("db", "cpu", 0).count() == 8
+
+
+def test_marks_and_writes_during_a_compaction_stay(engine, monkeypatch):
+    fill(engine)
+    found = engine_module.found_parts
+
+    def meanwhile(files, path, token, level):
+        monkeypatch.undo()
+        engine.delete_range("db", "cpu", '{"host":"s1"}', 0, 10 * DAY)
+        engine.write(Point("db", "cpu", 5, {"host": "s7"}, {"usage": 7.0}))
+        return found(files, path, token, level)
+
+    monkeypatch.setattr("tidemark.engine.found_parts", meanwhile)
+    engine.compact("db", "cpu")
+    assert engine.query("db", "cpu", 0).count() == 11
+    engine.compact("db", "cpu")
+    assert [r.host for r in engine.query("db", "cpu", 0).collect()] == ["s0", "s7", *["s0"] * 4]
+
+
+def test_second_compaction_of_the_same_files_changes_nothing(engine, monkeypatch):
+    fill(engine), fill(engine)
+    found = engine_module.found_parts
+
+    def meanwhile(*args):
+        monkeypatch.undo()
+        engine.compact("db", "cpu")
+        return found(*args)
+
+    monkeypatch.setattr("tidemark.engine.found_parts", meanwhile)
+    with pytest.raises(Conflict):
+        engine.compact("db", "cpu")
+    assert engine.query("db", "cpu", 0).count() == 10
+
+
+def test_replayed_batch_is_stored_once(spark, engine):
+    shape, rows = Shape(tags=("host",), fields=("v",)), [(5, "a", 1.0), (6, "b", 2.0)]
+    df = spark.createDataFrame(rows, "timestamp long, host string, v double")
+    assert engine.write_frame("db", "s", df, shape, once=("q", 0)) and not engine.write_frame("db", "s", df, shape, once=("q", 0))
+    assert engine.write_frame("db", "s", df, shape, once=("q", 1)) and engine.write_frame("db", "s", df, shape, once=("other", 0))
+    assert engine.query("db", "s", 0).count() == 6
+
+
+def test_concurrent_writers(spark, tmp_path):
+    engines = [Engine(spark, Config(f"file://{tmp_path}/base", shard_width=DAY)) for _ in range(4)]
+    work = [threading.Thread(target=e.write_batch, args=([Point("db", f"m{n % 2}", i, {"host": f"s{n}"}, {f"f{n}": i}) for i in range(5)],)) for n, e in enumerate(engines)]
+    for t in work:
+        t.start()
+    for t in work:
+        t.join()
+    table = engines[0].table("db", "m0")
+    assert table.count() == 10 and table.select("_batch").distinct().count() == 2 and engines[0].list_measurements("db") == ["m0", "m1"]
+    assert set(engines[1].catalog.schema("db", "m1")["fields"]) == {"f1", "f3"}
+
+
+def test_levels(spark, tmp_path):
+    engine = Engine(spark, Config(f"file://{tmp_path}/base", shard_width=DAY, grace=0))
+    for n in range(10):
+        engine.write_batch([Point("db", "cpu", i * DAY // 4, {"host": "a"}, {"n": n * (i == n)}) for i in range(n, n + 3)])
+    levels = lambda: Counter((p["shard"] // DAY, p["level"]) for p in engine._manifest("db", "cpu").load()["parts"])
+    before = levels()
+    assert engine.compact_levels("db", "cpu") == 0 and levels() == before  # no shard has ten parts
+    for _ in range(8):
+        engine.write(Point("db", "cpu", 1, {"host": "b"}, {"n": 1}))
+    rows = engine.query("db", "cpu", DAY).count()
+    assert engine.compact_levels("db", "cpu") == 1 and levels()[0, 0] == 0 and levels()[0, 1] == 1
+    assert engine.query("db", "cpu", DAY).count() == rows and [(r.timestamp, r.host) for r in engine.query("db", "cpu", 0, 2).collect()] == [(0, "a"), (1, "b")]
+    assert all(levels()[k] == n for k, n in before.items() if k[0] > 0)
+    engine.maintain(now=10 * DAY)
+    assert plan_level([{"batch": "a", "level": 0, "size": 6 << 20}, {"batch": "b", "level": 1, "size": 1}])[0] == 0
+
+
+def test_unreadable_parts_are_skipped(spark, tmp_path):
+    fill(Engine(spark, Config(f"file://{tmp_path}/base", shard_width=DAY)))
+    bad = next((tmp_path / "base/db/cpu/data").glob(f"*/shard_start={DAY}/part-*"))
+    bad.write_bytes(b"PAR1 no parquet")
+    for crc in bad.parent.glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(Exception, match="(?i)parquet"):
+        Engine(spark, Config(f"file://{tmp_path}/base", shard_width=DAY)).query("db", "cpu", 0).collect()
+    lenient = Engine(spark, Config(f"file://{tmp_path}/base", shard_width=DAY, skip_unreadable=True))
+    assert [r["count"] for r in lenient.query("db", "cpu", 0).collect()] == [0, 1, 2, 3, 8, 9]
+
+
+def test_seek(engine):
+    fill(engine)
+    rows = engine.query_iterator("db", "cpu", 0, offset=1)
+    assert next(rows)["count"] == 1
+    rows.seek(DAY + 1)
+    assert [r["count"] for r in rows] == [5, 6, 7, 8, 9]
+
+
+def test_old_tombstones_go(engine):
+    fill(engine)
+    engine.delete_range("db", "cpu", '{"host":"s0"}', 0, 1, now=10), engine.delete_range("db", "cpu", '{"host":"s1"}', 0, DAY, now=50)
+    assert engine.drop_old_tombstones("db", "cpu", now=60, retention=30) == 1
+    assert [r.mint for r in engine.tombstones("db", "cpu").collect()] == [0]
+    assert engine.drop_old_tombstones("db", "cpu", now=600, retention=30) == 0 and engine.tombstones("db", "cpu").count() == 0
+
+
+def test_upkeep_in_the_background(spark, tmp_path):
+    engine = Engine(spark, Config(f"file://{tmp_path}/base", shard_width=DAY, retention=DAY, grace=0))
+    fill(engine, 3)
+    engine.start_maintenance(0.1)
+    for _ in range(100):
+        if not engine.shards("db", "cpu"):
+            break
+        time.sleep(0.1)
+    assert engine.shards("db", "cpu") == []
+    engine.close()
+    assert not engine._upkeep.is_alive()
+
+
 def test_shard_registry(engine):
     fill(engine)
     found = engine.refresh_shards("db", "cpu")

@@ -37,6 +37,10 @@ class FieldTypeMismatch(EngineError):
     """A field that was stored with one type and comes with another."""
 
 
+class Conflict(EngineError):
+    """Another writer changed the same files first."""
+
+
 class Closed(EngineError):
     """The engine was closed."""
 

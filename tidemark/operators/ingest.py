@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import FieldTypeMismatch, spark_type_name
+from .ordinals import with_position
 
 FLUSH_ROWS = 3000
 
@@ -31,19 +32,21 @@ def validated(df: DataFrame, **columns: str) -> tuple[DataFrame, DataFrame]:
 
 
 def flush_batches(df: DataFrame, seq: Sequence[str], within: Sequence[str] = ("shard_start",), rows: int = FLUSH_ROWS) -> DataFrame:
-    """``df`` with flush_batch, the number of the write buffer (of ``rows`` rows) that holds a row."""
-    nth = F.row_number().over(Window.partitionBy(*within).orderBy(*seq)) - 1
-    return df.withColumn("flush_batch", F.floor(nth / rows).cast("long"))
+    """``df`` with flush_batch, the number of the write buffer (of ``rows`` rows) that holds a row.
+
+    Rows are numbered along ranges of one global order, so a large shard is no single task.
+    """
+    placed = with_position(df, [*within, *seq], "__place")
+    heads = placed.groupBy(*within).agg(F.min("__place").alias("__head"))
+    return placed.join(heads, list(within)).withColumn("flush_batch", F.expr(f"(__place - __head) div {rows}")).drop("__place", "__head")
 
 
 def field_types(df: DataFrame, fields: Mapping[str, str], seq: str) -> DataFrame:
-    """field, type, n_values, first_seq: what a write of ``df`` stores of each field (float64 for one without values)."""
-    out = None
-    for name, kind in fields.items():
-        one = df.agg(F.count(name).alias("n_values"), F.min(F.when(F.col(name).isNotNull(), F.col(seq))).alias("first_seq"))
-        one = one.select(F.lit(name).alias("field"), F.when(F.col("n_values") > 0, kind).otherwise("float64").alias("type"), "n_values", "first_seq")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """field, type, n_values, first_seq: what a write of ``df`` stores of each field (float64 for one without values), in one scan."""
+    counts = [c for i, name in enumerate(fields) for c in (F.count(name).alias(f"n{i}"), F.min(F.when(F.col(name).isNotNull(), F.col(seq))).alias(f"s{i}"))]
+    one = lambda i, name, kind: F.struct(F.lit(name).alias("field"), F.lit(kind).alias("kind"), F.col(f"n{i}").alias("n_values"), F.col(f"s{i}").alias("first_seq"))
+    rows = df.agg(*counts).select(F.explode(F.array(*(one(i, n, k) for i, (n, k) in enumerate(fields.items())))).alias("f"))
+    return rows.select("f.field", F.when(F.col("f.n_values") > 0, F.col("f.kind")).otherwise("float64").alias("type"), "f.n_values", "f.first_seq")
 
 
 def schema_conflicts(versions: DataFrame) -> DataFrame:

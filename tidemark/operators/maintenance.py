@@ -70,3 +70,24 @@ def levels_due(parts: DataFrame, level0_parts: int = LEVEL0_PARTS, level0_bytes:
     out = parts.groupBy("level").agg(F.count("*").alias("n_parts"), F.sum("size").cast("long").alias("size"))
     first = (F.col("n_parts") >= level0_parts) | (F.col("size") >= level0_bytes)
     return out.withColumn("due", F.when(F.col("level") == 0, first).otherwise(F.col("size") >= level_max(F.col("level"))))
+
+
+def plan_level(parts: list[dict]) -> tuple[int, list[dict]] | None:
+    """What to merge next of one shard's parts (level, size, batch): the lowest level that is due and its inputs.
+
+    The same rules as ``levels_due`` and ``select_parts``, over the few entries of a manifest; parts of a
+    shard share its time range, so all of the next level's take part.  None where nothing is due.
+    """
+    most = lambda level: LEVEL_MAX[level] if level < len(LEVEL_MAX) else 100 * MIB * 10 ** (level - 1)
+    for level in sorted({p["level"] for p in parts}):
+        own = sorted((p for p in parts if p["level"] == level), key=lambda p: (p["size"], p["batch"]))
+        size = sum(p["size"] for p in own)
+        if (len(own) >= LEVEL0_PARTS or size >= LEVEL0_BYTES) if level == 0 else size >= most(level):
+            chosen, total = [], 0
+            for p in own:
+                total += p["size"]
+                if chosen and total > most(level + 1) // 2:
+                    break
+                chosen.append(p)
+            return level, chosen + [p for p in parts if p["level"] == level + 1]
+    return None

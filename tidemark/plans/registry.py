@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..engine import health
+from ..engine import Config, Engine, health
 from ..model import WEEK
 from ..operators import ingest, maintenance, merge, ranges, series, shards
+from ..sources.scratch import fresh_path
 from ..sources.measurements import EVENTS, LINEITEM, ORDERS, events, lineitem, orders
 
 LO = 1_704_672_000_000_000_000
@@ -85,27 +86,27 @@ _LEVEL_MAX = "case {0} when 0 then 10485760 when 1 then 104857600 when 2 then 10
 
 @query("range_scan", f"select {_COLUMNS} from p where timestamp >= {LO} and timestamp < {HI}")
 def range_scan(spark, sf_dir):
-    return ranges.range_query(events(spark, sf_dir), EVENTS, LO, HI)
+    return ranges.range_query(events(spark, sf_dir, LO, HI), EVENTS, LO, HI)
 
 
 @query("range_open_end", f"select {_COLUMNS} from p where timestamp >= {LO}")
 def range_open_end(spark, sf_dir):
-    return ranges.range_query(events(spark, sf_dir), EVENTS, LO, None)
+    return ranges.range_query(events(spark, sf_dir, LO, None), EVENTS, LO, None)
 
 
 @query("range_empty", f"select {_COLUMNS} from p where false")
 def range_empty(spark, sf_dir):
-    return ranges.range_query(events(spark, sf_dir), EVENTS, HI, LO)
+    return ranges.range_query(events(spark, sf_dir, HI, LO), EVENTS, HI, LO)
 
 
 @query("tag_eq", f"select {_COLUMNS} from p where timestamp >= {LO} and timestamp < {HI} and event_type = 'click'")
 def tag_eq(spark, sf_dir):
-    return ranges.range_query(events(spark, sf_dir), EVENTS, LO, HI, {"event_type": "click"})
+    return ranges.range_query(events(spark, sf_dir, LO, HI), EVENTS, LO, HI, {"event_type": "click"})
 
 
 @query("tag_and", f"select {_COLUMNS} from p where timestamp >= {LO} and event_type = 'click' and usr = '7'")
 def tag_and(spark, sf_dir):
-    return ranges.range_query(events(spark, sf_dir), EVENTS, LO, None, {"event_type": "click", "usr": "7"})
+    return ranges.range_query(events(spark, sf_dir, LO, None), EVENTS, LO, None, {"event_type": "click", "usr": "7"})
 
 
 @query("tag_missing_matches_empty", f"select timestamp, case when usr::bigint % 3 = 0 then 'a' end as zone, value from p where timestamp >= {LO} and usr::bigint % 3 <> 0")
@@ -117,37 +118,37 @@ def tag_missing_matches_empty(spark, sf_dir):
 
 @query("project_fields", f"select timestamp, event_type, usr, value from p where timestamp >= {LO} and timestamp < {HI}")
 def project_fields(spark, sf_dir):
-    return ranges.range_query(events(spark, sf_dir), EVENTS, LO, HI, fields=["value", "value"])
+    return ranges.range_query(events(spark, sf_dir, LO, HI), EVENTS, LO, HI, fields=["value", "value"])
 
 
 @query("project_unknown", f"select timestamp, event_type, usr from p where timestamp >= {LO} and timestamp < {HI}")
 def project_unknown(spark, sf_dir):
-    return ranges.range_query(events(spark, sf_dir), EVENTS, LO, HI, fields=["nosuch"])
+    return ranges.range_query(events(spark, sf_dir, LO, HI), EVENTS, LO, HI, fields=["nosuch"])
 
 
 @query("page_limit", f"select {_COLUMNS} from p where timestamp >= {LO} order by timestamp limit 25")
 def page_limit(spark, sf_dir):
-    return ranges.range_query(events(spark, sf_dir), EVENTS, LO, None, limit=25)
+    return ranges.range_query(events(spark, sf_dir, LO, None), EVENTS, LO, None, limit=25)
 
 
 @query("page_offset", f"select {_COLUMNS} from p where timestamp >= {LO} and timestamp < {HI} order by timestamp offset 100")
 def page_offset(spark, sf_dir):
-    return ranges.range_query(events(spark, sf_dir), EVENTS, LO, HI, offset=100)
+    return ranges.range_query(events(spark, sf_dir, LO, HI), EVENTS, LO, HI, offset=100)
 
 
 @query("page_both", f"select timestamp, event_type, usr, value from p where timestamp >= {LO} and timestamp < {HI} and event_type = 'click' order by timestamp limit 10 offset 20")
 def page_both(spark, sf_dir):
-    return ranges.range_query(events(spark, sf_dir), EVENTS, LO, HI, {"event_type": "click"}, ["value"], offset=20, limit=10)
+    return ranges.range_query(events(spark, sf_dir, LO, HI), EVENTS, LO, HI, {"event_type": "click"}, ["value"], offset=20, limit=10)
 
 
 @query("page_envelope", f"with n as (select count(*) as n from p where timestamp >= {LO} and timestamp < {HI}) select least(n, 120)::bigint as total_count, n - 20 >= 100 as has_more from n")
 def page_envelope(spark, sf_dir):
-    return ranges.envelope(events(spark, sf_dir), EVENTS, LO, HI, offset=20, limit=100)
+    return ranges.envelope(events(spark, sf_dir, LO, HI), EVENTS, LO, HI, offset=20, limit=100)
 
 
 @query("orders_range", "select epoch_us(o_orderdate) * 1000 as timestamp, o_orderstatus, o_orderpriority, o_totalprice from orders where o_orderstatus = 'O' order by 1, o_orderkey limit 50 offset 10")
 def orders_range(spark, sf_dir):
-    return ranges.range_query(orders(spark, sf_dir), ORDERS, 0, None, {"o_orderstatus": "O"}, offset=10, limit=50)
+    return ranges.range_query(orders(spark, sf_dir, 0, None), ORDERS, 0, None, {"o_orderstatus": "O"}, offset=10, limit=50)
 
 
 @query(
@@ -156,7 +157,7 @@ def orders_range(spark, sf_dir):
     where l_returnflag = 'R' and l_linestatus = 'F' order by 1, l_orderkey, l_linenumber limit 100""",
 )
 def lineitem_range(spark, sf_dir):
-    return ranges.range_query(lineitem(spark, sf_dir), LINEITEM, 0, None, {"l_returnflag": "R", "l_linestatus": "F"}, ["quantity", "price"], limit=100)
+    return ranges.range_query(lineitem(spark, sf_dir, 0, None), LINEITEM, 0, None, {"l_returnflag": "R", "l_linestatus": "F"}, ["quantity", "price"], limit=100)
 
 
 # ---- shards and blocks
@@ -348,7 +349,7 @@ def field_types(spark, sf_dir):
     return ingest.field_types(e, {"click_value": "float64", "props": "string", "never": "int64"}, "event_id")
 
 
-_VERSIONS = "v as (select event_id % 20 as field_no, event_id as version, case when event_id % 7 = 0 then 'string' else 'int64' end as type from k where event_id < 200)"
+_VERSIONS = "v as (select event_id // 10 as field_no, event_id as version, case when event_id % 7 = 0 then 'string' else 'int64' end as type from k)"
 
 
 @query(
@@ -356,9 +357,9 @@ _VERSIONS = "v as (select event_id % 20 as field_no, event_id as version, case w
     f"with {_VERSIONS}, o as (select version, 'f' || field_no as field, lag(type) over (partition by field_no order by version) as old_type, type as new_type from v) select * from o where old_type <> new_type",
 )
 def schema_conflict(spark, sf_dir):
-    e = events(spark, sf_dir).where("event_id < 200")
+    e = events(spark, sf_dir)
     kind = F.when(F.col("event_id") % 7 == 0, "string").otherwise("int64")
-    return ingest.schema_conflicts(e.select(F.concat(F.lit("f"), (F.col("event_id") % 20).cast("string")).alias("field"), F.col("event_id").alias("version"), kind.alias("type")))
+    return ingest.schema_conflicts(e.select(F.concat(F.lit("f"), F.expr("event_id div 10").cast("string")).alias("field"), F.col("event_id").alias("version"), kind.alias("type")))
 
 
 @query("zero_fill", "select event_id, coalesce(case when event_type = 'click' then value end, 0.0) as value, coalesce(case when event_id % 2 = 0 then props end, '') as props, coalesce(case when event_id % 3 = 0 then is_error end, false) as is_error from p")
@@ -433,8 +434,10 @@ def delta_encode(spark, sf_dir):
 
 @query("delta_decode", "select event_id, timestamp as value from p")
 def delta_decode(spark, sf_dir):
-    coded = fn.delta_encode(_keyed(spark, sf_dir), "timestamp", ["series_key"], ["timestamp", "event_id"]).withColumn("nth", F.col("timestamp"))
-    return fn.delta_decode(coded, "delta", ["series_key"], ["nth", "event_id"]).select("event_id", "value")
+    coded = fn.delta_encode(_keyed(spark, sf_dir), "timestamp", ["series_key"], ["timestamp", "event_id"])
+    place = F.row_number().over(Window.partitionBy("series_key").orderBy("timestamp", "event_id"))
+    coded = coded.withColumn("nth", place).select("event_id", "series_key", "nth", "delta")
+    return fn.delta_decode(coded, "delta", ["series_key"], ["nth"]).select("event_id", "value")
 
 
 _SEPTETS = "case when n < 128 then 1 when n < 16384 then 2 when n < 2097152 then 3 when n < 268435456 then 4 when n < 34359738368 then 5 when n < 4398046511104 then 6 when n < 562949953421312 then 7 when n < 72057594037927936 then 8 else 9 end"
@@ -461,18 +464,88 @@ _CATALOG = [("metrics", "cpu"), ("metrics", "mem"), ("logs", "web"), ("_internal
 _VALUES = ", ".join(f"('{d}', {f"'{m}'" if m else 'null'})" for d, m in _CATALOG)
 
 
-def _catalog(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"select * from values {_VALUES} as c(database, measurement)")
+def _engine(spark: SparkSession) -> Engine:
+    """An engine on a fresh folder of the shared scratch space, with the catalog above."""
+    engine = Engine(spark, Config(fresh_path(spark, "engine")))
+    for database, measurement in _CATALOG:
+        engine.create_database(database)
+        if measurement:
+            engine.create_measurement(database, measurement)
+    return engine
 
 
 @query("list_databases", f"select distinct database from (values {_VALUES}) as c(database, measurement) where not starts_with(database, '_')")
 def list_databases(spark, sf_dir):
-    return _catalog(spark).where(~F.col("database").startswith("_")).select("database").distinct().orderBy("database")
+    return spark.createDataFrame([(d,) for d in _engine(spark).list_databases()], "database string")
 
 
 @query("list_measurements", f"select measurement from (values {_VALUES}) as c(database, measurement) where database = 'metrics'")
 def list_measurements(spark, sf_dir):
-    return _catalog(spark).where("database = 'metrics' and measurement is not null").select("measurement").orderBy("measurement")
+    return spark.createDataFrame([(m,) for m in _engine(spark).list_measurements("metrics")], "measurement string")
+
+
+# ---- stored measurements: written, compacted, deleted from and read through the engine
+
+
+def _stored(spark: SparkSession, sf_dir: str, *batches: DataFrame) -> Engine:
+    engine = Engine(spark, Config(fresh_path(spark, "engine")))
+    for batch in batches or (events(spark, sf_dir),):
+        engine.write_frame("metrics", "events", batch, EVENTS)
+    return engine
+
+
+@query("stored_range", f"select {_COLUMNS} from p where timestamp >= {LO} and timestamp < {HI} and event_type = 'click'")
+def stored_range(spark, sf_dir):
+    return _stored(spark, sf_dir).query("metrics", "events", LO, HI, {"event_type": "click"})
+
+
+@query("stored_page", f"select timestamp, event_type, usr, value from p where timestamp >= {LO} and timestamp < {HI} order by timestamp, event_id limit 25 offset 40")
+def stored_page(spark, sf_dir):
+    return _stored(spark, sf_dir).query("metrics", "events", LO, HI, fields=["value"], offset=40, limit=25)
+
+
+@query("stored_twice", f"select {_COLUMNS} from p where event_id % 2 = 0 union all select {_COLUMNS} from p")
+def stored_twice(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return _stored(spark, sf_dir, e.where("event_id % 2 = 0"), e).query("metrics", "events", 0)
+
+
+@query("stored_compacted", f"select {_COLUMNS.replace('value', 'case when event_id % 2 = 0 then -value else value end as value')} from p")
+def stored_compacted(spark, sf_dir):
+    e = events(spark, sf_dir)
+    engine = _stored(spark, sf_dir, e.where("event_id % 2 = 0").withColumn("value", -F.col("value")), e)
+    engine.compact("metrics", "events", keep="first")
+    return engine.query("metrics", "events", 0)
+
+
+@query("stored_levels", f"select {_COLUMNS} from p")
+def stored_levels(spark, sf_dir):
+    e = events(spark, sf_dir)
+    engine = _stored(spark, sf_dir, *(e.where(f"event_id % 10 in ({i}, {(i + 1) % 10})") for i in range(10)))
+    engine.compact_levels("metrics", "events")
+    return engine.query("metrics", "events", 0)
+
+
+@query("stored_deleted", f"select {_COLUMNS} from k where not (series_key = '{{\"event_type\":\"click\",\"usr\":\"7\"}}' and timestamp between {LO} and {HI})")
+def stored_deleted(spark, sf_dir):
+    engine = _stored(spark, sf_dir)
+    engine.delete_range("metrics", "events", '{"event_type":"click","usr":"7"}', LO, HI)
+    engine.compact("metrics", "events")
+    return engine.query("metrics", "events", 0)
+
+
+@query("stored_retention", f"select {_COLUMNS} from k where shard_start + {WEEK} >= {HI + WEEK} - {WEEK}")
+def stored_retention(spark, sf_dir):
+    engine = _stored(spark, sf_dir)
+    engine.apply_retention("metrics", "events", now=HI + WEEK, retention=WEEK)
+    return engine.query("metrics", "events", 0)
+
+
+@query("stored_shards", f"select shard_start, shard_start + {WEEK} as shard_end, count(*) as n_points, min(timestamp) as min_time, max(timestamp) as max_time, count(distinct series_key) as n_series from k group by shard_start")
+def stored_shards(spark, sf_dir):
+    engine = _stored(spark, sf_dir)
+    found = engine.refresh_shards("metrics", "events")
+    return spark.createDataFrame([tuple(s[c] for c in ("start", "end", "n_points", "min_time", "max_time", "n_series")) for s in found], "shard_start long, shard_end long, n_points long, min_time long, max_time long, n_series long")
 
 
 @query("health", "select true as healthy, '1.0.0' as version")

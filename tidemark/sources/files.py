@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -46,8 +47,18 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, path: str, text: str) -> None:
-        """Replace a file as a whole: readers see the old or the new text."""
+    def names(self, path: str) -> list[str]:
+        """Names of the files in a folder."""
+        p, fs = self._at(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isFile()) if fs.exists(p) else []
+
+    def changed(self, path: str) -> int:
+        """When a file or folder was last changed, in ms."""
+        p, fs = self._at(path)
+        return fs.getFileStatus(p).getModificationTime()
+
+    def create(self, path: str, text: str) -> bool:
+        """Make a file that isn't there, whole or not at all; False where there is one already."""
         draft = f"{path}.{uuid.uuid4().hex}"
         p, fs = self._at(draft)
         stream = fs.create(p)
@@ -55,13 +66,19 @@ class Files:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        self.move(draft, path)
+        try:
+            self._rename(draft, path)
+        except Py4JJavaError as e:
+            fs.delete(p, False)
+            if "FileAlreadyExists" in str(e.java_exception.getClass().getName()):
+                return False
+            raise
+        return True
 
-    def move(self, source: str, target: str) -> None:
-        """Rename, over an existing target."""
+    def _rename(self, source: str, target: str) -> None:
+        """Rename; raises where the target is there."""
         a, fs = self._at(source)
         b, _ = self._at(target)
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(a.toUri() if a.toUri().getScheme() else fs.getUri(), self._conf)
-        options = self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
-        options[0] = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+        options = self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
         context.rename(a, b, options)

@@ -18,9 +18,14 @@ def deduplicated(stream: DataFrame, shape: Shape, delay: str = "1 hour") -> Data
 
 
 def ingest(engine: Engine, stream: DataFrame, database: str, measurement: str, shape: Shape, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Append every micro-batch to a measurement. Rows with a negative or null time are left out."""
+    """Append every micro-batch to a measurement, each once: a batch that is replayed after a crash is recognised by its number.
+
+    Rows with a negative or null time are left out.  The engine ends the stream when it is closed.
+    """
 
     def append(batch: DataFrame, number: int) -> None:
-        engine.write_frame(database, measurement, batch, shape)
+        engine.write_frame(database, measurement, batch, shape, once=(checkpoint, number))
 
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    query = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    engine.streams.append(query)
+    return query
