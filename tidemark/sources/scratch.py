@@ -1,17 +1,27 @@
-"""Intermediate tables that outlive executors, below the folder that ``spark.checkpoint.dir`` names."""
+"""Intermediate tables that outlive executors, below the folder that ``spark.checkpoint.dir`` names.
+
+Long jobs cut their lineage here: a table is written as Parquet in the shared folder and read back, so a
+lost executor costs a re-read and no more.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder; a temporary one of our own only where the session names none (tests)."""
+    """The shared folder; a temporary one of our own only where the session names none and runs on this machine alone."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -21,10 +31,22 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _tidied(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go when it ends."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a frame that reads it.  The path is in ``.table_path``."""
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with _tidied(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out
