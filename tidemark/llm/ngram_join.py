@@ -5,7 +5,8 @@ share flip the same bits, so the Hamming distance of two sketches is at most the
 symmetric difference of the sets, and Jaccard >= p/q bounds that by d = (q-p)(|A|+|B|)/(q+p).
 
 Size bands.  A set of n shingles belongs to band g when n lies in [B_g, B_g+1), B growing by RATIO,
-and also to g+1 when n >= p/q * B_g+1.  Any two sets that can link share a band, which fixes d.
+and also to each later band g+i with n >= p/q * B_g+i, whatever p/q.  Any two sets that can link share
+the larger one's band, which fixes d.
 
 Pigeonhole.  In a band the sketch has k = d+1 blocks of 1024 bits.  If the distance is at most d < k
 then, going round, some block j starts a run whose first l blocks differ in at most l-1 bits, for
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .components import components
 from .rows import attach, text_key
-from .store import discard, materialize, release
+from .store import discard, materialize
 
 RATIO = 1.4
 BLOCK_BITS = 1024
@@ -79,13 +80,18 @@ def band_keys(values: np.ndarray, bounds: np.ndarray, p: int, q: int) -> tuple[n
     if not len(values):
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
     edges = band_edges(int(sizes.max()))
-    at = np.searchsorted(edges, sizes, side="right") - 1
+    tops = [*edges.tolist()]
+    while len(tops) < len(edges) + 2 or p * tops[-1] <= q * int(sizes.max()):  # bands that a set may share with larger ones
+        tops.append(max(tops[-1] + 1, int(tops[-1] * RATIO)))
+    tops = np.array(tops, dtype=np.int64)
+    at = np.searchsorted(tops, sizes, side="right") - 1
     sets = np.flatnonzero(sizes > 0)
-    reach = edges[np.minimum(at + 1, len(edges) - 1)]
-    both = sets[q * sizes[sets] >= p * reach[sets]]
-    unit_set = np.concatenate([sets, both])
-    unit_band = np.concatenate([at[sets], at[both] + 1])
-    tops = np.append(edges, max(edges[-1] + 1, int(edges[-1] * RATIO)))
+    unit_set, unit_band, step = [sets], [at[sets]], 1
+    while len(more := sets[(at[sets] + step < len(tops) - 1)]) and len(more := more[q * sizes[more] >= p * tops[at[more] + step]]):
+        unit_set.append(more)
+        unit_band.append(at[more] + step)
+        step += 1
+    unit_set, unit_band = np.concatenate(unit_set), np.concatenate(unit_band)
     distance = (q - p) * 2 * (tops[unit_band + 1] - 1) // (q + p)
     keep = distance > 0  # else only equal sets link, and those are one node
     unit_set, unit_band, blocks = unit_set[keep], unit_band[keep], distance[keep] + 1
@@ -475,7 +481,6 @@ def _components(docs: DataFrame, words: int, p: int, q: int) -> DataFrame:
 
     discard(base)
     shared = _shared_keys(docs.mapInArrow(_keyed(words, p, q), "node long, keys array<long>"))
-    release(docs.sparkSession)
 
     # each set against the center that it shares most keys with
     tried = shared.where("node <> center").groupBy("node").agg(F.mode("center", True).alias("u")).select("u", F.col("node").alias("v"))
@@ -496,7 +501,6 @@ def _components(docs: DataFrame, words: int, p: int, q: int) -> DataFrame:
         keys = materialize(keys.join(again, "key", "left_semi"), "ngram-keys")
     labels = materialize(components(links), "ngram-labels")
     discard(shared, sketches)
-    release(docs.sparkSession)
 
     named = slim.join(_small(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))

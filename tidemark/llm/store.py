@@ -1,40 +1,12 @@
-"""Intermediate tables that outlive executors.
-
-Long jobs cut their lineage here: a table is written as Parquet below the folder that the cluster
-names in ``spark.checkpoint.dir`` and read back, so a lost executor costs a re-read and no more.
-"""
+"""Intermediate tables in the shared folder, and the tables that queries read."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import fresh_path, materialize, scratch_root
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder; a temporary one of our own only where the session names none (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a frame that reads it.  The path is in ``.table_path``."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.table_path = path
-    return out
+__all__ = ["discard", "fresh_path", "materialize", "read_table", "scratch_root"]
 
 
 def discard(*tables: DataFrame | str) -> None:
@@ -45,16 +17,5 @@ def discard(*tables: DataFrame | str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of steps whose results are stored and whose frames are gone.
-
-    The gateway lets go of frames a moment after Python does, hence the second turn.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
