@@ -263,6 +263,22 @@ def slow_score(model, text, depth):
     return total
 
 
+def test_frequent_rows(spark):
+    counts = spark.createDataFrame([(i, n) for i, n in enumerate([0, 0, 1, 1, 1, 2, 2, 7, 9, 1000])], "key long, n long")
+    for most, want in ((0, 0), (1, 1), (2, 2), (4, 3), (5, 5), (7, 5), (8, 8), (99, 8)):
+        assert ct._frequent(counts, most).count() == want, most
+
+
+def test_scores_at_full_depth(make):
+    r = random.Random(13)
+    rows = [(i, " ".join(r.choice(["the", "other", "of", "ré", "tion"]) for _ in range(r.randint(0, 6))), None, None) for i in range(25)]
+    got = {x.doc_id: (x.score, x.bits_per_byte) for x in ct.score_documents(make(rows), lm.held_out(2, 7)).collect()}
+    model = slow_tree([x[1].encode() for x in rows if crc(x[0]) % 7 != 2], ct.DEPTH)
+    for i, text, *_ in rows:
+        want = slow_score(model, text.encode(), ct.DEPTH)
+        assert got[i] == pytest.approx((want, -want * math.log2(10) / (len(text.encode()) + 1)), rel=1e-5)
+
+
 def test_scores_are_those_of_the_weighted_tree(make):
     r = random.Random(3)
     rows = [(i, " ".join(r.choice(["the", "of", "ré", "Ion", "ti"]) for _ in range(r.randint(0, 12))), None, None) for i in range(60)]

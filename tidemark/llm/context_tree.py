@@ -8,8 +8,9 @@ the estimates of all depths with their posterior weights.  -log2 of the score is
 
 No context is left out: the counted sequences are dealt to tasks by the SPLIT bytes before their last,
 so that a task holds all nodes below a context of that length; the few nodes above it, bounded by the
-256 bytes, are made on the driver.  Each distinct sequence gets its value there once.  The HOT_GRAMS
-most frequent ones travel to the tasks with their values; the others of a document are joined.
+256 bytes, are made on the driver.  Each distinct sequence gets its value there once.  The most
+frequent ones, HOT_GRAMS at most, travel to the tasks with their values; the others of a document are
+joined.
 
 The unigram base scores words: its vocabulary is counted over all training rows and joined back to
 the rarer words of documents; the HOT_WORDS most frequent, a table of fixed size, travel to the tasks.
@@ -319,13 +320,29 @@ def _spot(grams: np.ndarray, slots: int) -> np.ndarray:
     return ((grams * _SPREAD) >> np.uint64(65 - slots.bit_length())).astype(np.int64)
 
 
+def _frequent(table: DataFrame, most: int) -> DataFrame:
+    """Rows of ``table`` with the largest ``n``: all from a threshold on, at most ``most`` of them.
+
+    The threshold comes from a histogram of eight steps per doubling, a few hundred rows, so no task
+    sorts or gathers the table.
+    """
+    step = F.floor(F.log2("n") * 8)
+    left, least = most, None
+    for r in table.where("n > 0").groupBy(step.alias("step")).agg(F.count("*").alias("rows")).orderBy(F.desc("step")).collect():
+        left -= r.rows
+        if left < 0:
+            break
+        least = r.step
+    return table.where(F.lit(False)) if least is None else table.where((F.col("n") > 0) & (step >= least))
+
+
 def learn(rows: DataFrame, depth: int = DEPTH) -> tuple[Scorer, DataFrame]:
-    """The HOT_GRAMS most frequent sequences of ``rows`` (text and held_out) for the tasks, and a stored table of all: key, n, value."""
+    """The most frequent sequences of ``rows`` (text and held_out) for the tasks, and a stored table of all: key, n, value."""
     grams = rows.select("text", "held_out").mapInArrow(_counted(lambda d, o: byte_grams(d, o, depth)[0]), "key long, n long")
     grams = materialize(grams.groupBy("key").agg(F.sum("n").alias("n")), "grams")
     whole = materialize(valued(grams, depth), "values")
     discard(grams)
-    hot = whole.orderBy(F.desc("n"), "key").limit(HOT_GRAMS).select("key", "value").toArrow()
+    hot = _frequent(whole, HOT_GRAMS).select("key", "value").toArrow()
     return Scorer(hot.column("key").to_numpy().astype(np.int64).view(np.uint64), hot.column("value").to_numpy(), depth), whole
 
 
@@ -395,7 +412,7 @@ def score_documents(docs: DataFrame, held_out: Column, depth: int = DEPTH) -> Da
     texts = train.select(F.lit(1)).count()
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n, v = n + texts, v + (texts > 0)
-    hot = words.orderBy(F.desc("n"), "key").limit(HOT_WORDS).toArrow()
+    hot = _frequent(words, HOT_WORDS).toArrow()
     key, count = hot.column("key").to_numpy().astype(np.int64).view(np.uint64), hot.column("n").to_numpy()
     order = np.argsort(key)
     scored = materialize(rows.mapInArrow(_scored(scorer, key[order], np.log10(count[order] + 1.0)), _SCORED), "scored")
