@@ -504,7 +504,8 @@ def _components(docs: DataFrame, words: int, p: int, q: int) -> DataFrame:
 
     named = slim.join(_small(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "component", "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "component")
+    least = materialize(least, "ngram-least")  # apart from the join, so that a very large group's rows needn't meet in one task
+    return named.join(_small(least), "component", "left").select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "component")
 
 
 def one_per_group(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100) -> DataFrame:
