@@ -10,7 +10,7 @@ from brute import words
 
 from tidemark.llm import spaced_seeds, warc
 from tidemark.llm.cover_tree import Search, Top, routes, top_k, tree
-from tidemark.llm.line_dedup import PIECES, repeated_units, without_repeats
+from tidemark.llm.line_dedup import PIECES, TOKEN, repeated_passages, repeated_units, without_repeats
 from tidemark.llm.spaced_seeds import contaminated, decontaminate
 from tidemark.llm.warc import archive_round_trip, capture_index, loser_tree, parse_records, unpacked, url_key, write_archives
 
@@ -87,10 +87,75 @@ def test_clashing_names_stay(spark):
     assert out.columns == docs.columns
 
 
+def brute_passages(rows, least):
+    """Listed passages of every row, word by word, and the texts without those that go."""
+    own = [[(*m.span(), m[0].encode().lower()) for m in re.finditer(TOKEN, text or "")] for _, text in rows]
+    places = defaultdict(list)
+    for nth, tokens in enumerate(own):
+        for at in range(len(tokens) - least + 1):
+            doc_id = rows[nth][0]
+            places[tuple(t[2] for t in tokens[at : at + least])].append((doc_id is None, doc_id or 0, at, nth))
+    out, texts = [], []
+    for nth, (tokens, (doc_id, text)) in enumerate(zip(own, rows, strict=True)):
+        found, gone = [], set()
+        for at in range(len(tokens) - least + 1):
+            held = places[tuple(t[2] for t in tokens[at : at + least])]
+            if len({x[3] for x in held}) > 1:
+                lost, first_id, first_at, first = min(held)
+                if found and found[-1][0] + found[-1][1] == at and found[-1][2:4] == [first, first_at - at]:
+                    found[-1][1] += 1
+                    found[-1][5] = min(found[-1][5], len(held))
+                else:
+                    found.append([at, 1, first, first_at - at, None if lost else first_id, len(held)])
+        for at, n, first, shift, first_id, many in found:
+            start, stop, kept = tokens[at][0], tokens[at + n + least - 2][1], first == nth and shift == 0
+            out.append((doc_id, at, start, stop, n + least - 1, kept, first_id, at + shift, many))
+            gone |= set() if kept else set(range(start, stop))
+        texts.append("".join(c for i, c in enumerate(text) if i not in gone) if text else text)
+    return Counter(out), Counter((d, t) for (d, _), t in zip(rows, texts, strict=True))
+
+
+@pytest.mark.parametrize("least", [1, 2, 5, 12])
+def test_repeated_passages(make, odd_rows, least):
+    odd = [x for x in odd_rows if x[0] != 76]  # 60,000 words are much for brute force
+    rows = lined(odd) + [(200, "the " + "la " * 40, None, None), (201, "la " * 25 + "end", None, None), (202, "x" * 300, None, None), (203, "y " + "x" * 300, None, None)]
+    want, texts = brute_passages([x[:2] for x in rows], least)
+    got = repeated_passages(make(rows), least).collect()
+    assert Counter((r.doc_id, r.word, r.start, r.stop, r.words, r.kept, r.kept_doc_id, r.kept_word, r.copies) for r in got) == want
+    assert any(not x[5] for x in want) and any(x[5] for x in want)
+    assert Counter((r.doc_id, r.text) for r in without_repeats(make(rows), "word", least).collect()) == texts
+
+
+def test_passages_cut_inside_sentences(make):
+    """Exactly 51 words in common, without a whole sentence among them, are found; 50 are not, nor are repeated sentences of several rows."""
+    said = [f"w{i}" for i in range(51)]
+    short = [f"v{i}" for i in range(50)]
+    mixed = [" ".join(f"s{k}{i}" for i in range(20)) + "." for k in range(3)]
+    rows = [(1, "a b " + " ".join(said) + " c."), (2, "d.\ne " + "\n ".join(said).upper() + " f g."), (3, "h " + " ".join(short) + " i"), (4, "j " + " ".join(short) + " k")]
+    rows += [(5, " ".join(mixed)), *((6 + k, mixed[k]) for k in range(3))]
+    got = repeated_passages(make([(*x, None, None) for x in rows])).collect()
+    assert sorted((r.doc_id, r.word, r.words, r.kept, r.kept_doc_id, r.kept_word, r.copies) for r in got) == [(1, 2, 51, True, 1, 2, 2), (2, 2, 51, False, 1, 2, 2)]
+
+
+def test_long_passages_and_a_crowded_filter(make, odd_rows, monkeypatch):
+    """Long texts are taken whole, and a filter whose bits are nearly all set loses nothing."""
+    want = None
+    for bits in ((20, 27), (15, 15)):
+        monkeypatch.setattr("tidemark.llm.line_dedup.FILTER_BITS", bits)
+        long = next(x[1] for x in odd_rows if x[0] == 76)
+        got = sorted((r.doc_id, r.word, r.words, r.kept, r.copies) for r in repeated_passages(make([*odd_rows, (300, "one " + long, None, None)])).collect() if r.doc_id in (76, 300))
+        want = want or got
+        assert got == want == [(76, 0, 60_000, True, 2), (300, 1, 60_000, False, 2)]
+
+
 def test_no_lines(make):
     assert repeated_units(make([])).count() == 0 and without_repeats(make([])).count() == 0
 
 
+def test_no_passages(make):
+    assert repeated_passages(make([])).count() == 0 and without_repeats(make([]), "word", 51).count() == 0
+
+
 # ---- seeds
 
 
