@@ -86,3 +86,16 @@ def test_components(spark):
             a, b = sorted((top(u), top(v)))
             up[b] = a
     assert got == {i: top(i) for i in up}
+
+
+def test_few_edges_take_few_jobs(spark, monkeypatch):
+    """One task settles few edges, without rounds, as the rounds do."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300) if i % 50] + [(900, i) for i in range(400, 500)] + [(5, 5), (2, 1), (None, 3)], "u long, v long")
+    got = {}
+    for few in (0, 200_000):
+        monkeypatch.setattr("tidemark.llm.components.FEW_ROWS", few)
+        spark.sparkContext.setJobGroup(f"edges-{few}", "")
+        got[few] = sorted(tuple(r) for r in components(edges).collect())
+    assert got[0] == got[200_000] and len(got[0]) > 300
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("edges-200000")) <= 8
+    assert components(edges.where("u < 0")).count() == 0
